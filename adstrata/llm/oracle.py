@@ -1,5 +1,16 @@
 """SQL of the queries, over whole tables."""
 
+_LINE = "trim(lower(regexp_replace(regexp_replace({}, '[ \\t\\r]+', ' ', 'g'), '[0-9]+', '#', 'g')))"
+_KEPT = f"""
+worded AS (SELECT DISTINCT seller_name, listing_id, description FROM observations
+           WHERE seller_name IS NOT NULL AND listing_id IS NOT NULL AND description IS NOT NULL),
+lined AS (SELECT DISTINCT seller_name, listing_id, {_LINE.format("raw")} AS line
+          FROM (SELECT seller_name, listing_id, unnest(string_split(description, chr(10))) AS raw FROM worded)),
+held AS (SELECT seller_name, line, count(*) AS docs FROM lined WHERE line <> '' GROUP BY ALL),
+sized AS (SELECT seller_name, count(DISTINCT listing_id) AS total FROM worded GROUP BY ALL),
+kept AS (SELECT seller_name, line, docs, total FROM held JOIN sized USING (seller_name) WHERE docs >= 4 AND docs >= 0.25 * total)
+"""
+
 SQL = {
     "p2_found": """
 WITH row_of AS (SELECT DISTINCT cluster_id, id, first_seen, last_seen, category FROM listings WHERE cluster_id IS NOT NULL AND id IS NOT NULL),
@@ -13,6 +24,24 @@ kind AS (
   QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY last_seen DESC NULLS LAST, id) = 1)
 SELECT g.cluster_id, coalesce(s.id, g.lowest) AS canonical_listing_id, coalesce(k.id, -1) AS category_listing_id
 FROM grouped g LEFT JOIN seen s USING (cluster_id) LEFT JOIN kind k USING (cluster_id)""",
+    "p4_found": f"""
+WITH {_KEPT},
+known AS (SELECT DISTINCT seller_name, {_LINE.format("raw")} AS line
+          FROM (SELECT seller_name, unnest(string_split(snippet, chr(10))) AS raw FROM seller_boilerplate))
+SELECT k.seller_name, k.line, (n.line IS NOT NULL)::BIGINT AS known
+FROM kept k LEFT JOIN known n ON n.seller_name = k.seller_name AND n.line = k.line""",
+    "p4_cleaned": f"""
+WITH {_KEPT},
+marked AS (
+  SELECT o.id, o.description, string_split(o.description, chr(10)) AS raws,
+         (SELECT list(line) FROM kept k WHERE k.seller_name = o.seller_name) AS lines
+  FROM observations o)
+SELECT id AS observation_id,
+       CASE WHEN description IS NULL OR lines IS NULL THEN description
+            ELSE array_to_string(list_filter(raws, lambda x: NOT list_contains(lines, {_LINE.format("x")})), chr(10)) END AS cleaned,
+       CASE WHEN description IS NULL OR lines IS NULL THEN 0
+            ELSE len(list_filter(raws, lambda x: list_contains(lines, {_LINE.format("x")}))) END::BIGINT AS removed
+FROM marked""",
     "p6_found": """
 WITH RECURSIVE p AS (
   SELECT least(listing_a, listing_b) AS a, greatest(listing_a, listing_b) AS b, lower(trim(decision)) AS decision,

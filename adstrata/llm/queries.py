@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adstrata.llm import components, survivors
+from adstrata.llm import boilerplate, components, lookalikes, survivors
 from adstrata.llm.oracle import SQL  # noqa: F401
 from adstrata.sources.tables import table
 
@@ -20,10 +20,54 @@ def p2_voted(spark: SparkSession, d: str) -> DataFrame:
     return survivors.cluster_survivors(table(spark, d, "listings"), category_by_vote=True)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The lines that recur in the ads of one seller, and whether a snippet names them."""
+    blocks = boilerplate.boilerplate_blocks(table(spark, d, "observations"), "seller_name", "listing_id", "description")
+    known = boilerplate.known_lines(table(spark, d, "seller_boilerplate"), "seller_name", "snippet").withColumn("known", F.lit(1))
+    return blocks.join(known, ["source", "line"], "left").select(
+        F.col("source").alias("seller_name"), "line", F.coalesce("known", F.lit(0)).cast("bigint").alias("known")
+    )
+
+
+def p4_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks of boilerplate: each recurring line with its support and the least line of its block."""
+    blocks = boilerplate.boilerplate_blocks(table(spark, d, "observations"), "seller_name", "listing_id", "description")
+    return blocks.withColumnRenamed("source", "seller_name")
+
+
+def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Every observation's description without its seller's recurring lines."""
+    docs = table(spark, d, "observations").select("id", "listing_id", "seller_name", "description")
+    kept = boilerplate.boilerplate_lines(docs, "seller_name", "listing_id", "description")
+    out = boilerplate.without_boilerplate(docs, "seller_name", "listing_id", "description", kept)
+    return out.select(F.col("id").alias("observation_id"), "cleaned", "removed")
+
+
+def _observed_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(observation_id, field, text) of every non-null title and description."""
+    both = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("title", "description")])
+    return table(spark, d, "observations").select(F.col("id").alias("observation_id"), F.inline(both)).filter("text IS NOT NULL")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The titles and descriptions written with look-alike characters."""
+    return lookalikes.cases(_observed_texts(spark, d)).select("observation_id", "field")
+
+
+def p5_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every title and description with look-alikes, in its one plain form."""
+    return lookalikes.cases(_observed_texts(spark, d)).select("observation_id", "field", "form", F.array_join("kinds", ",").alias("kinds"))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Titles and descriptions that look the same, grouped by their skeleton."""
+    return lookalikes.groups(_observed_texts(spark, d))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The group of every listing that the pair outcomes link to another one."""
     links = components.decided_links(table(spark, d, "dedup_pairs"))
     return components.components(links).select(F.col("node").alias("listing_id"), "group_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_voted": p2_voted, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p2_voted": p2_voted, "p4_found": p4_found, "p4_blocks": p4_blocks, "p4_cleaned": p4_cleaned, "p5_found": p5_found, "p5_forms": p5_forms, "p5_groups": p5_groups, "p6_found": p6_found}
