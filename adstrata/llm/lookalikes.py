@@ -65,54 +65,38 @@ def _script(c: str) -> str:
     return unicodedata.name(c, "").split(" ")[0].replace("FULLWIDTH", "LATIN")
 
 
-@cache
-def _composing() -> dict[str, str]:
-    """By rule: each combining mark with the letters that a single character joins it to."""
-    out: dict[str, str] = {}
-    for code in range(0x80, 0x2FFFF):
-        d = unicodedata.decomposition(chr(code)).split()
-        if len(d) == 2 and d[0][0] != "<":
-            pair = [chr(int(x, 16)) for x in d]
-            if unicodedata.combining(pair[1]) and unicodedata.normalize("NFC", "".join(pair)) == chr(code):
-                out[pair[1]] = out.get(pair[1], "") + pair[0]
-    return out
+# The ranges that ordinary text of this kind is made of; they hold no character of variants(), spaces() or INVISIBLE.
+ORDINARY = [(0x00, 0x9F), (0xA1, 0xAC), (0xAE, 0xCF), (0xD1, 0x131), (0x134, 0x148), (0x14A, 0x17E), (0x400, 0x47F), (0x2010, 0x2024), (0x2026, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20C0)]
+OTHER_ALPHABETS = r"[\x{370}-\x{58f}\x{13a0}-\x{13ff}\x{1f00}-\x{1fff}\x{2c80}-\x{2cff}]"
 
 
-def _class(chars: str) -> str:
-    """A Java character class of code points, as ranges."""
-    codes, spans = sorted(set(map(ord, chars))), []
-    for x in codes:
-        if spans and spans[-1][1] == x - 1:
-            spans[-1][1] = x
-        else:
-            spans.append([x, x])
-    return "[" + "".join(f"\\x{{{a:x}}}" + (f"-\\x{{{b:x}}}" if b > a else "") for a, b in spans) + "]"
+def _unusual(text: Column) -> Column:
+    """Whether ``text`` has a character outside ORDINARY: one class, so the JVM reads the text once."""
+    return text.rlike("[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ORDINARY) + "]")
 
 
-@cache
-def _suspect() -> str:
-    """Java regular expression for texts that may hold a case; it may find more, never fewer."""
-    odd = _class("".join(variants()) + spaces() + INVISIBLE + CROATIAN_LIKE)
-    other = "[\\p{IsCyrillic}\\p{IsGreek}\\p{IsArmenian}\\p{IsCherokee}\\p{IsCoptic}]"
-    return f"{odd}|\\p{{M}}|\\p{{IsLatin}}{other}|{other}\\p{{IsLatin}}|\\p{{IsGreek}}\\p{{IsCyrillic}}|\\p{{IsCyrillic}}\\p{{IsGreek}}"
+def _suspect(text: Column) -> Column:
+    """Whether ``text`` may hold a case: it may find more, never fewer."""
+    latin, other = r"\p{IsLatin}", OTHER_ALPHABETS
+    mixed = rf"{latin}{other}|{other}{latin}|\p{{IsGreek}}\p{{IsCyrillic}}|\p{{IsCyrillic}}\p{{IsGreek}}"
+    return _unusual(text) | (text.rlike(other) & text.rlike(mixed))
 
 
-@cache
-def _shaped() -> str:
-    """Java regular expression for texts whose skeleton differs from them."""
-    return f"{_suspect()}|{_class(CYRILLIC_LIKE + GREEK_LIKE)}"
+def _shaped(text: Column) -> Column:
+    """Whether the skeleton of ``text`` may differ from it."""
+    return _unusual(text) | text.rlike(OTHER_ALPHABETS)
 
 
+# A letter with the marks of the combining blocks after it.
+_MARKED = re.compile(r"\w[\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099\u309a]+")
 _LETTERS = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
 
 
 @cache
 def _patterns() -> dict[str, re.Pattern]:
     hidden = "[" + INVISIBLE + "]"
-    pieces = "|".join(f"[{re.escape(b)}]{m}" for m, b in _composing().items())
     return {
         "styled": re.compile("[" + re.escape("".join(variants())) + "]"),
-        "pieces": re.compile(pieces),
         "invisible": re.compile(rf"\w[̀-ͯ]*{hidden}|{hidden}\w"),
         "space": re.compile("[" + spaces() + "]"),
         "croatian": re.compile("[" + CROATIAN_LIKE + "]"),
@@ -122,6 +106,8 @@ def _patterns() -> dict[str, re.Pattern]:
 def kinds(text: str) -> list[str]:
     """Which kinds of look-alikes ``text`` holds: styled, pieces, invisible, space, croatian, mixed."""
     found = [k for k, p in _patterns().items() if p.search(text)]
+    if any(len(unicodedata.normalize("NFC", m)) < len(m) for m in _MARKED.findall(text)):
+        found.append("pieces")
     if any(len(_scripts(w)) > 1 for w in _LETTERS.findall(text)):
         found.append("mixed")
     return found
@@ -188,8 +174,8 @@ def with_looks(texts: DataFrame, text: str = "text") -> DataFrame:
     A null text has nulls; an empty one is its own skeleton and form. Texts without an
     unusual character never leave the JVM.
     """
-    unusual = texts.filter(F.col(text).rlike(_shaped()))
-    plain = texts.filter(~F.coalesce(F.col(text).rlike(_shaped()), F.lit(False)))
+    unusual = texts.filter(_shaped(F.col(text)))
+    plain = texts.filter(~F.coalesce(_shaped(F.col(text)), F.lit(False)))
     looked = unusual.withColumn("__l", _look(F.col(text))).select(*texts.columns, "__l.kinds", "__l.skeleton", "__l.form")
     none = F.when(F.col(text).isNotNull(), F.array().cast("array<string>"))
     return looked.unionByName(plain.withColumns({"kinds": none, "skeleton": F.col(text), "form": F.col(text)}))
@@ -197,7 +183,7 @@ def with_looks(texts: DataFrame, text: str = "text") -> DataFrame:
 
 def cases(texts: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``texts`` that hold a look-alike, with the columns of ``with_looks``."""
-    suspect = texts.filter(F.col(text).rlike(_suspect()))
+    suspect = texts.filter(_suspect(F.col(text)))
     looked = suspect.withColumn("__l", _look(F.col(text))).select(*texts.columns, "__l.kinds", "__l.skeleton", "__l.form")
     return looked.filter((F.size("kinds") > 0) & (F.col(text) != F.col("skeleton")))
 
