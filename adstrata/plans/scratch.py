@@ -32,12 +32,12 @@ def folder(spark: SparkSession) -> str:
     return set_dir.rstrip("/")
 
 
-def written(df: DataFrame, name: str = "t") -> DataFrame:
-    """``df`` written to the shared folder and read back, with ``df``'s schema."""
+def written(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder (a directory per value of ``by``) and read back, with ``df``'s schema."""
     spark = df.sparkSession
     path = f"{folder(spark)}/adstrata/{name}-{uuid.uuid4().hex}"
     _made[path] = spark
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch_path = path
     return back
