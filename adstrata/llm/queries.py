@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adstrata.llm import boilerplate, components, lookalikes, survivors
+from adstrata.llm import boilerplate, components, intake, lookalikes, survivors
 from adstrata.llm.oracle import SQL  # noqa: F401
 from adstrata.sources.tables import table
 
@@ -20,6 +20,18 @@ def p2_voted(spark: SparkSession, d: str) -> DataFrame:
     return survivors.cluster_survivors(table(spark, d, "listings"), category_by_vote=True)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each rejected listing with every listing accepted before it that it matches."""
+    _, matches = intake.deduplicated(table(spark, d, "intake_batches"), table(spark, d, "blocking_keys"))
+    return matches.select(F.least("a", "b").alias("listing_a"), F.greatest("a", "b").alias("listing_b"))
+
+
+def p3_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Every listing with its batch and whether it was accepted."""
+    decisions, _ = intake.deduplicated(table(spark, d, "intake_batches"), table(spark, d, "blocking_keys"))
+    return decisions.select(F.col("record").alias("listing_id"), F.col("batch_no").cast("bigint").alias("batch_no"), "accepted")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The lines that recur in the ads of one seller, and whether a snippet names them."""
     blocks = boilerplate.boilerplate_blocks(table(spark, d, "observations"), "seller_name", "listing_id", "description")
@@ -70,4 +82,4 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return components.components(links).select(F.col("node").alias("listing_id"), "group_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_voted": p2_voted, "p4_found": p4_found, "p4_blocks": p4_blocks, "p4_cleaned": p4_cleaned, "p5_found": p5_found, "p5_forms": p5_forms, "p5_groups": p5_groups, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p2_voted": p2_voted, "p3_found": p3_found, "p3_decisions": p3_decisions, "p4_found": p4_found, "p4_blocks": p4_blocks, "p4_cleaned": p4_cleaned, "p5_found": p5_found, "p5_forms": p5_forms, "p5_groups": p5_groups, "p6_found": p6_found}
