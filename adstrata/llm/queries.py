@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adstrata.llm import boilerplate, components, intake, lookalikes, survivors
+from adstrata.llm import boilerplate, components, intake, lookalikes, mixture, survivors, tokens
 from adstrata.llm.oracle import SQL  # noqa: F401
+from adstrata.plans.scratch import written
 from adstrata.sources.tables import table
 
 
@@ -82,4 +83,25 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return components.components(links).select(F.col("node").alias("listing_id"), "group_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_voted": p2_voted, "p3_found": p3_found, "p3_decisions": p3_decisions, "p4_found": p4_found, "p4_blocks": p4_blocks, "p4_cleaned": p4_cleaned, "p5_found": p5_found, "p5_forms": p5_forms, "p5_groups": p5_groups, "p6_found": p6_found}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The token ids of every document."""
+    return tokens.encoded(table(spark, d, "documents"))
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, source, tokens) of every document, written once: encoding is the costly part."""
+    return written(tokens.encoded(table(spark, d, "documents"), ["doc_id", "source"], count_only=True), "sized")
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mixture and how often each is used."""
+    return mixture.mixture(_sized(spark, d), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share that each source was to have in the mixture and the share it reached."""
+    sized, targets = _sized(spark, d), table(spark, d, "mix_targets")
+    return mixture.shares(mixture.mixture(sized, targets), sized, targets)
+
+
+QUERIES = {"p2_found": p2_found, "p2_voted": p2_voted, "p3_found": p3_found, "p3_decisions": p3_decisions, "p4_found": p4_found, "p4_blocks": p4_blocks, "p4_cleaned": p4_cleaned, "p5_found": p5_found, "p5_forms": p5_forms, "p5_groups": p5_groups, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
