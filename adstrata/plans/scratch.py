@@ -43,6 +43,23 @@ def written(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
     return back
 
 
+class Appended:
+    """A table in the shared folder that grows by appending; ``rows`` reads all of it by one scan."""
+
+    def __init__(self, spark: SparkSession, name: str, by: str | None = None):
+        self._spark, self._by, self._schema = spark, by, None
+        self._path = f"{folder(spark)}/adstrata/{name}-{uuid.uuid4().hex}"
+        _made[self._path] = spark
+
+    def append(self, df: DataFrame) -> None:
+        self._schema = self._schema or df.schema
+        (df.write.partitionBy(self._by) if self._by else df.write).mode("append").parquet(self._path)
+
+    def rows(self) -> DataFrame | None:
+        """All rows appended so far, or None before the first ``append``."""
+        return self._spark.read.schema(self._schema).parquet(self._path) if self._schema else None
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete the files of frames made by ``written`` that nothing reads any more."""
     for df in frames:
