@@ -23,13 +23,11 @@ band key, and only what is left after LEADER_ROUNDS is compared pair by pair.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adstrata.plans.scratch import drop, written
+from adstrata.plans.scratch import Appended, drop, written
 
 LEADER_ROUNDS = 2
 
@@ -50,8 +48,8 @@ class IntakeIndex:
 
     def __init__(self, spark: SparkSession, share: float = 0.5, common: int = 100, buckets: int = 16):
         self.spark, self.share, self.common_above, self.buckets = spark, share, common, buckets
-        self.bands: list[DataFrame] = []
-        self.sets: list[DataFrame] = []
+        self.bands, self.sets = Appended(spark, "bands", by="bucket"), Appended(spark, "sets")
+        self.matches, self.decisions = Appended(spark, "matches"), Appended(spark, "decisions")
         self.common: DataFrame | None = None
 
     def _signatures(self, keyed: DataFrame) -> DataFrame:
@@ -75,8 +73,8 @@ class IntakeIndex:
         common = F.size(F.array_intersect("sa", "sb"))
         return both.filter(common >= F.lit(self.share) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
-    def admit(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(decisions, matches) of a batch of (record, key); records are taken in ascending order.
+    def admit(self, batch: DataFrame) -> None:
+        """Take a batch of (record, key), its records in ascending order; ``decisions`` and ``matches`` grow by its rows.
 
         decisions: record, accepted. matches: a, b for each rejected record b and each
         record a accepted before it that it matches. A record must not have been admitted
@@ -87,39 +85,45 @@ class IntakeIndex:
         firsts = classes.select(F.col("first").alias("record"), "sig")
         split = firsts.select("record", F.size("sig").alias("n"), F.explode(self._prefix(F.col("sig"))).alias("band"))
         bands = written(split.withColumn("bucket", F.pmod("band", F.lit(self.buckets)).cast("int")), "bands")
-        right = lambda x: x.select(F.col("record").alias("a"), F.col("n").alias("m"), "band", "bucket")
-        left = lambda x: x.select(F.col("record").alias("b"), "n", "band", "bucket")
-        fits = (F.col("n") >= F.lit(self.share) * F.col("m")) & (F.col("m") >= F.lit(self.share) * F.col("n"))
-        met: list[DataFrame] = []  # matches of this batch's classes with accepted records
+        old = self._met_before(bands, firsts)
         status = firsts.select("record").withColumn("state", F.lit("pending"))
-        if self.bands:
-            index, sets = reduce(DataFrame.unionByName, self.bands), reduce(DataFrame.unionByName, self.sets)
-            probe = left(bands).join(right(index), ["bucket", "band"]).filter(fits)
-            old = written(self._verified(probe.select("a", "b").distinct(), sets, firsts), "old")
-            met.append(old)
+        if old is not None:
             status = self._moved(status, old.select("b").distinct(), "rejected")
         for _ in range(LEADER_ROUNDS):
             status = self._lead(bands, firsts, status)
         if not status.filter("state = 'pending'").isEmpty():
-            status = self._settle(bands, firsts, status, fits)
+            status = self._settle(bands, firsts, status)
         # Every match of a rejected class with a class accepted in this batch; copies may come after it where the first doesn't.
         took = bands.join(status.filter("state = 'accepted'").select("record"), "record", "left_semi")
         gone = bands.join(status.filter("state = 'rejected'").select("record"), "record", "left_semi")
-        pairs = left(gone).join(right(took), ["bucket", "band"]).filter(fits).select("a", "b").distinct()
-        met.append(self._verified(pairs, firsts, firsts))
+        found = self._verified(self._candidates(gone, took), firsts, firsts).withColumn("old", F.lit(False))
+        if old is not None:
+            found = found.unionByName(old.withColumn("old", F.lit(True)))
         # Copies of an accepted class are rejected by its first record; copies of a rejected one by what was accepted before them.
         copies = classes.select("first", F.explode("copies").alias("record"))
         judged = copies.join(status.select(F.col("record").alias("first"), "state"), "first")
         yes = F.col("state") == "accepted"
-        decisions = judged.select("record", (yes & (F.col("record") == F.col("first"))).alias("accepted"))
-        own = judged.filter(yes & (F.col("record") != F.col("first"))).select(F.col("first").alias("a"), F.col("record").alias("b"), F.lit(False).alias("old"))
-        is_old = lambda x, o: x.withColumn("old", F.lit(o))
-        found = reduce(DataFrame.unionByName, [is_old(x, o) for x, o in zip(met, ([True, False] if len(met) == 2 else [False]), strict=True)])
+        own = judged.filter(yes & (F.col("record") != F.col("first"))).select(F.col("first").alias("a"), F.col("record").alias("b"))
         theirs = judged.filter(~yes).join(found.withColumnRenamed("b", "first"), "first").filter(F.col("old") | (F.col("a") < F.col("record")))
-        matches = written(own.unionByName(theirs.select("a", F.col("record").alias("b"), "old")).select("a", "b"), "matches")
-        self.bands.append(written(took.repartition("bucket"), "index", by="bucket"))
-        self.sets.append(written(firsts.join(status.filter(yes), "record", "left_semi"), "sets"))
-        return decisions, matches
+        self.matches.append(own.unionByName(theirs.select("a", F.col("record").alias("b"))))
+        self.decisions.append(judged.select("record", (yes & (F.col("record") == F.col("first"))).alias("accepted")))
+        self.bands.append(took.repartition("bucket"))
+        self.sets.append(firsts.join(status.filter(yes), "record", "left_semi"))
+        drop(classes, bands, status, *([old] if old is not None else []))
+
+    def _candidates(self, new: DataFrame, known: DataFrame) -> DataFrame:
+        """(a, b): records b of ``new`` and a of ``known`` that share a band key and whose sizes allow a match."""
+        left = new.select(F.col("record").alias("b"), "n", "band", "bucket")
+        right = known.select(F.col("record").alias("a"), F.col("n").alias("m"), "band", "bucket")
+        fits = (F.col("n") >= F.lit(self.share) * F.col("m")) & (F.col("m") >= F.lit(self.share) * F.col("n"))
+        return left.join(right, ["bucket", "band"]).filter(fits).select("a", "b").distinct()
+
+    def _met_before(self, bands: DataFrame, firsts: DataFrame) -> DataFrame | None:
+        """The matches of the batch's classes with records accepted in earlier batches; None if there were none."""
+        index = self.bands.rows()
+        if index is None:
+            return None
+        return written(self._verified(self._candidates(bands, index), self.sets.rows(), firsts), "old")
 
     def _moved(self, status: DataFrame, records: DataFrame, to: str) -> DataFrame:
         """``status`` with the pending ones of ``records`` (one column) moved to the state ``to``."""
@@ -135,16 +139,15 @@ class IntakeIndex:
         clear = led.groupBy("b").agg(F.min("a").alias("least")).filter("b = least").select("b")
         accepted = self._moved(status, clear, "accepted")
         pairs = led.filter("a < b").join(clear.withColumnRenamed("b", "a"), "a", "left_semi").distinct()
-        return written(self._moved(accepted, self._verified(pairs, firsts, firsts).select("b").distinct(), "rejected"), "status")
+        after = written(self._moved(accepted, self._verified(pairs, firsts, firsts).select("b").distinct(), "rejected"), "status")
+        drop(status)
+        return after
 
-    def _settle(self, bands: DataFrame, firsts: DataFrame, status: DataFrame, fits: Column) -> DataFrame:
+    def _settle(self, bands: DataFrame, firsts: DataFrame, status: DataFrame) -> DataFrame:
         """Decide what is still pending: compare it pair by pair with earlier pending and accepted records, then take it in order."""
-        live = status.filter("state <> 'rejected'")
         late = bands.join(status.filter("state = 'pending'").select("record"), "record", "left_semi")
-        pairs = late.select(F.col("record").alias("b"), "n", "band").join(
-            bands.join(live, "record", "left_semi").select(F.col("record").alias("a"), F.col("n").alias("m"), "band"), "band"
-        ).filter(fits & (F.col("a") < F.col("b")))
-        edges = written(self._verified(pairs.select("a", "b").distinct(), firsts, firsts), "edges")
+        live = bands.join(status.filter("state <> 'rejected'").select("record"), "record", "left_semi")
+        edges = written(self._verified(self._candidates(late, live).filter("a < b"), firsts, firsts), "edges")
         while not status.filter("state = 'pending'").isEmpty():
             before = edges.join(status.select(F.col("record").alias("a"), F.col("state").alias("of_a")), "a")
             seen = before.groupBy(F.col("b").alias("record")).agg(
@@ -156,7 +159,9 @@ class IntakeIndex:
                 .when(F.coalesce("waits", F.lit(False)), "pending")
                 .otherwise("accepted")
             )
-            status = written(status.join(seen, "record", "left").select("record", state.alias("state")), "status")
+            after = written(status.join(seen, "record", "left").select("record", state.alias("state")), "status")
+            drop(status)
+            status = after
         drop(edges)
         return status
 
@@ -174,16 +179,11 @@ def deduplicated(batches: DataFrame, keys: DataFrame, share: float = 0.5, common
     keyed = record_keys(keys).join(first, "record")
     keyed = written(keyed, "keyed")
     index = IntakeIndex(spark, share, common)
-    decided, met = [], []
     numbers = [r[0] for r in first.select("batch_no").distinct().orderBy("batch_no").collect()]  # one row a batch
     for no in numbers:
-        new = keyed.filter(F.col("batch_no") == no)
-        decisions, matches = index.admit(new.select("record", "key"))
-        decided.append(decisions.withColumn("batch_no", F.lit(no)))
-        met.append(matches)
-    empty = spark.createDataFrame([], T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b")]))
+        index.admit(keyed.filter(F.col("batch_no") == no).select("record", "key"))
     if not numbers:
+        empty = spark.createDataFrame([], T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b")]))
         return first.withColumn("accepted", F.lit(True)), empty
-    ruled = reduce(DataFrame.unionByName, decided).select("record", "accepted")
-    decisions = first.join(ruled, "record", "left").withColumn("accepted", F.coalesce("accepted", F.lit(True)))
-    return decisions, reduce(DataFrame.unionByName, met)
+    decisions = first.join(index.decisions.rows(), "record", "left").withColumn("accepted", F.coalesce("accepted", F.lit(True)))
+    return decisions, index.matches.rows()
