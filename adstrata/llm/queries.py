@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adstrata.llm import boilerplate, components, intake, lookalikes, mixture, survivors, tokens
+from adstrata.llm import boilerplate, components, encodings, intake, lookalikes, mixture, survivors, tokens
 from adstrata.llm.oracle import SQL  # noqa: F401
 from adstrata.plans.scratch import written
 from adstrata.sources.tables import table
@@ -104,4 +104,14 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.shares(mixture.mixture(sized, targets), sized, targets)
 
 
-QUERIES = {"p2_found": p2_found, "p2_voted": p2_voted, "p3_found": p3_found, "p3_decisions": p3_decisions, "p4_found": p4_found, "p4_blocks": p4_blocks, "p4_cleaned": p4_cleaned, "p5_found": p5_found, "p5_forms": p5_forms, "p5_groups": p5_groups, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with a passage that was decoded with a wrong encoding."""
+    return encodings.garbled_documents(table(spark, d, "documents")).select("doc_id")
+
+
+def p9_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled documents with their text restored where it can be."""
+    return encodings.repaired(table(spark, d, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_voted": p2_voted, "p3_found": p3_found, "p3_decisions": p3_decisions, "p4_found": p4_found, "p4_blocks": p4_blocks, "p4_cleaned": p4_cleaned, "p5_found": p5_found, "p5_forms": p5_forms, "p5_groups": p5_groups, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_repaired": p9_repaired}
