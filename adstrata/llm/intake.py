@@ -17,7 +17,7 @@ it comes last in the order, so that it is a band key only of records made mostly
 common keys, and those match one another or differ by rare keys. The order is fixed by
 that first batch: any order is right, this one is fast. Exact copies within a batch
 are handled as one class. Within a batch, the first pending record of each bucket is
-the bucket's leader; leaders decide most records in a few rounds of one comparison per
+the bucket's leader; leaders decide most records in LEADER_ROUNDS rounds of one comparison per
 band key, and only what is left after LEADER_ROUNDS is compared pair by pair.
 """
 
@@ -27,9 +27,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adstrata.plans.scratch import Appended, drop, written
+from adstrata.plans.scratch import Appended, drop, tidy, written
 
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 1
 
 
 def record_keys(keys: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ class IntakeIndex:
     def __init__(self, spark: SparkSession, share: float = 0.5, common: int = 100, buckets: int = 16):
         self.spark, self.share, self.common_above, self.buckets = spark, share, common, buckets
         self.bands, self.sets = Appended(spark, "bands", by="bucket"), Appended(spark, "sets")
-        self.matches, self.decisions = Appended(spark, "matches"), Appended(spark, "decisions")
+        self.matches = Appended(spark, "matches")
         self.common: DataFrame | None = None
 
     def _signatures(self, keyed: DataFrame) -> DataFrame:
@@ -74,10 +74,10 @@ class IntakeIndex:
         return both.filter(common >= F.lit(self.share) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
     def admit(self, batch: DataFrame) -> None:
-        """Take a batch of (record, key), its records in ascending order; ``decisions`` and ``matches`` grow by its rows.
+        """Take a batch of (record, key), its records in ascending order; ``matches`` grows by its rows.
 
-        decisions: record, accepted. matches: a, b for each rejected record b and each
-        record a accepted before it that it matches. A record must not have been admitted
+        matches: a, b for each rejected record b and each record a accepted before it that
+        it matches; what has no such row is accepted. A record must not have been admitted
         before; one without a key never comes here and matches nothing.
         """
         sig = self._signatures(batch)
@@ -106,10 +106,10 @@ class IntakeIndex:
         own = judged.filter(yes & (F.col("record") != F.col("first"))).select(F.col("first").alias("a"), F.col("record").alias("b"))
         theirs = judged.filter(~yes).join(found.withColumnRenamed("b", "first"), "first").filter(F.col("old") | (F.col("a") < F.col("record")))
         self.matches.append(own.unionByName(theirs.select("a", F.col("record").alias("b"))))
-        self.decisions.append(judged.select("record", (yes & (F.col("record") == F.col("first"))).alias("accepted")))
         self.bands.append(took.repartition("bucket"))
         self.sets.append(firsts.join(status.filter(yes), "record", "left_semi"))
         drop(classes, bands, status, *([old] if old is not None else []))
+        tidy(self.spark)
 
     def _candidates(self, new: DataFrame, known: DataFrame) -> DataFrame:
         """(a, b): records b of ``new`` and a of ``known`` that share a band key and whose sizes allow a match."""
@@ -185,5 +185,7 @@ def deduplicated(batches: DataFrame, keys: DataFrame, share: float = 0.5, common
     if not numbers:
         empty = spark.createDataFrame([], T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b")]))
         return first.withColumn("accepted", F.lit(True)), empty
-    decisions = first.join(index.decisions.rows(), "record", "left").withColumn("accepted", F.coalesce("accepted", F.lit(True)))
-    return decisions, index.matches.rows()
+    matches = index.matches.rows()
+    refused = matches.select(F.col("b").alias("record")).distinct().withColumn("refused", F.lit(True))
+    decisions = first.join(refused, "record", "left").select("record", "batch_no", F.col("refused").isNull().alias("accepted"))
+    return decisions, matches
