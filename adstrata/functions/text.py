@@ -7,6 +7,7 @@ unless stated otherwise.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 from zlib import crc32
 
@@ -36,6 +37,11 @@ def _bases(compatible: bool) -> tuple[str, str]:
     return "".join(given) + "đĐ", "".join(plain) + "dD"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, evaluated once: inside a lambda a plain expression would be evaluated for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unaccent(c: Column) -> Column:
     """``c`` without accents, letters in their case; ß becomes ss, đ becomes d."""
     return F.replace(F.regexp_replace(F.translate(c, *_bases(False)), r"\p{M}+", ""), F.lit("ß"), F.lit("ss"))
@@ -90,42 +96,51 @@ def has_words(tokens: Column, query: str) -> Column:
 
 def rank_words(tokens: Column, query: str) -> Column:
     """Occurrences of the query's words per word of the text; 0 for an empty text."""
-    hits = F.size(F.filter(tokens, lambda t: F.array_contains(words(F.lit(query)), t)))
+    hits = let(words(F.lit(query)), lambda q: F.size(F.filter(tokens, lambda t: F.array_contains(q, t))))
     return F.coalesce(hits / F.nullif(F.size(tokens), F.lit(0)), F.lit(0.0))
 
 
 def like_folded(c: Column, part: str) -> Column:
     """Whether ``c`` contains ``part`` without regard to accents and case; % and _ in it match any run and any character."""
-    return F.lower(unaccent(c)).like(F.concat(F.lit("%"), F.lower(unaccent(F.lit(part))), F.lit("%")))
+    return F.like(F.lower(unaccent(c)), F.concat(F.lit("%"), F.lower(unaccent(F.lit(part))), F.lit("%")))
 
 
 def shingles(folded: Column, k: int = SHINGLE) -> Column:
     """The distinct runs of ``k`` characters of a folded text; a shorter text is one shingle, an empty one has none."""
-    n = F.length(folded)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substring(folded, i, F.lit(k)))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+    def runs(t: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(t) - (k - 1), F.lit(1)))
+        cut = F.array_distinct(F.transform(starts, lambda i: F.substring(t, i, F.lit(k))))
+        return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(cut)
+
+    return let(folded, runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Shared over all elements of two sets; 0 if either is empty."""
     common = F.size(F.array_intersect(a, b))
     either = F.size(a) + F.size(b) - common
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(common / either)
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(common / F.nullif(either, F.lit(0)))
 
 
 def minhash(sh: Column, size: int = SIGNATURE, name: str = "adstrata") -> Column:
     """``size`` minima of the shingles' CRC-32 under different masks; an empty set has an empty signature."""
-    masks = [crc32(f"{name}-{i}".encode()) for i in range(size)]
-    hashes = F.transform(sh, lambda s: F.crc32(s.cast("binary")))
-    minima = F.transform(F.array(*[F.lit(m) for m in masks]), lambda m: F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(m))))
-    return F.when(F.size(sh) == 0, F.array().cast("array<bigint>")).otherwise(minima)
+    masks = F.array(*[F.lit(crc32(f"{name}-{i}".encode())).cast("bigint") for i in range(size)])
+    minima = lambda hs: F.transform(masks, lambda m: F.array_min(F.transform(hs, lambda h: h.bitwiseXOR(m))))
+    none = F.array().cast("array<bigint>")
+    return let(F.transform(sh, lambda s: F.crc32(s.cast("binary"))), lambda hs: F.when(F.size(hs) == 0, none).otherwise(minima(hs)))
 
 
 def text_bands(signature: Column, size: int = SIGNATURE, rows: int = BAND_ROWS) -> Column:
     """One label per ``rows`` minima: its offset and the minima; similar texts share at least one."""
     offsets = F.array(*[F.lit(i) for i in range(0, size - rows + 1, rows)])
-    label = lambda o: F.concat(o.cast("string"), F.lit(":"), F.concat_ws("-", F.transform(F.slice(signature, o + 1, rows), lambda x: x.cast("string"))))
-    return F.when(F.size(signature) == 0, F.array().cast("array<string>")).otherwise(F.transform(offsets, label))
+    none = F.array().cast("array<string>")
+
+    def labels(sig: Column) -> Column:
+        part = lambda o: F.concat_ws("-", F.transform(F.slice(sig, o + 1, rows), lambda x: x.cast("string")))
+        return F.when(F.size(sig) == 0, none).otherwise(F.transform(offsets, lambda o: F.concat(o.cast("string"), F.lit(":"), part(o))))
+
+    return let(signature, labels)
 
 
 def without_snippets(c: Column, snippets: Column) -> Column:
