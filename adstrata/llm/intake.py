@@ -7,9 +7,9 @@ key among the first n - ceil(share * n) + 1 of either one's n keys, so only thos
 band keys are indexed, and a probe of a new record's band keys finds every match:
 nothing is lost to chance. Candidates are verified on the whole signatures.
 
-The index is kept as written tables, by hash of band key: a row per band key and
-accepted record, a signature per accepted record, and the common keys. Each batch
-reads only its matching buckets and appends what it accepts; history is never
+The index is a written table, by hash of band key: a row per band key and accepted
+record, with its signature, so that a probe that meets a band can verify at once. Each
+batch reads only its matching buckets and appends what it accepts; history is never
 compared with itself again.
 
 Skew: a key held by more than ``common`` of the records of the first batch is common;
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adstrata.plans.scratch import Appended, drop, tidy, written
+from adstrata.plans.scratch import Appended, drop, written
 
 LEADER_ROUNDS = 1
 
@@ -48,8 +48,7 @@ class IntakeIndex:
 
     def __init__(self, spark: SparkSession, share: float = 0.5, common: int = 100, buckets: int = 16):
         self.spark, self.share, self.common_above, self.buckets = spark, share, common, buckets
-        self.bands, self.sets = Appended(spark, "bands", by="bucket"), Appended(spark, "sets")
-        self.matches = Appended(spark, "matches")
+        self.bands, self.matches = Appended(spark, "bands", by="bucket"), Appended(spark, "matches")
         self.common: DataFrame | None = None
 
     def _signatures(self, keyed: DataFrame) -> DataFrame:
@@ -61,17 +60,26 @@ class IntakeIndex:
         order = F.struct(F.coalesce("held", F.lit(0)).alias("held"), F.xxhash64("key", F.lit(7)).alias("h"), "key")
         return ranked.groupBy("record").agg(F.array_sort(F.collect_list(order)).alias("o")).select("record", F.col("o.key").alias("sig"))
 
-    def _prefix(self, sig: Column) -> Column:
-        n = F.size(sig)
-        return F.slice(sig, 1, n - F.ceil(F.lit(self.share) * n).cast("int") + 1)
+    def _bands(self, firsts: DataFrame) -> DataFrame:
+        """(bucket, band, record, sig): a row per band key; the signature goes with it, so that a probe needs nothing else."""
+        n = F.size("sig")
+        prefix = F.slice("sig", F.lit(1), n - F.ceil(F.lit(self.share) * n).cast("int") + 1)
+        rows = firsts.select(F.explode(prefix).alias("band"), "record", "sig")
+        return rows.select(F.pmod("band", F.lit(self.buckets)).cast("int").alias("bucket"), "band", "record", "sig")
 
-    def _verified(self, pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose signatures match; ``left`` holds the signatures of a, ``right`` of b."""
-        both = pairs.join(left.select(F.col("record").alias("a"), F.col("sig").alias("sa")), "a").join(
-            right.select(F.col("record").alias("b"), F.col("sig").alias("sb")), "b"
-        )
-        common = F.size(F.array_intersect("sa", "sb"))
-        return both.filter(common >= F.lit(self.share) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    def _matching(self, new: DataFrame, known: DataFrame) -> DataFrame:
+        """(a, b): the matches of records b of the band rows ``new`` with records a of the band rows ``known``.
+
+        Signatures are in one order, so the first key that two of them share is a band key
+        of both if they match: a pair is verified and given at that band alone.
+        """
+        left = new.select("bucket", "band", F.col("record").alias("b"), F.col("sig").alias("sb"))
+        right = known.select("bucket", "band", F.col("record").alias("a"), F.col("sig").alias("sa"))
+        m, n, share = F.size("sa"), F.size("sb"), F.lit(self.share)
+        met = left.join(right, ["bucket", "band"]).filter((n >= share * m) & (m >= share * n) & (F.col("a") != F.col("b")))
+        met = met.select("a", "b", "band", (m + n).alias("sum"), F.array_intersect("sa", "sb").alias("common"))
+        held = F.size("common")
+        return met.filter((F.get("common", F.lit(0)) == F.col("band")) & (held >= share * (F.col("sum") - held))).select("a", "b")
 
     def admit(self, batch: DataFrame) -> None:
         """Take a batch of (record, key), its records in ascending order; ``matches`` grows by its rows.
@@ -80,50 +88,32 @@ class IntakeIndex:
         it matches; what has no such row is accepted. A record must not have been admitted
         before; one without a key never comes here and matches nothing.
         """
-        sig = self._signatures(batch)
-        classes = written(sig.groupBy("sig").agg(F.min("record").alias("first"), F.collect_list("record").alias("copies")), "classes")
+        classes = written(self._signatures(batch).groupBy("sig").agg(F.min("record").alias("first"), F.collect_list("record").alias("copies")), "classes")
         firsts = classes.select(F.col("first").alias("record"), "sig")
-        split = firsts.select("record", F.size("sig").alias("n"), F.explode(self._prefix(F.col("sig"))).alias("band"))
-        bands = written(split.withColumn("bucket", F.pmod("band", F.lit(self.buckets)).cast("int")), "bands")
-        old = self._met_before(bands, firsts)
+        bands = written(self._bands(firsts), "bands")
+        index = self.bands.rows()
+        old = None if index is None else written(self._matching(bands, index), "old")
         status = firsts.select("record").withColumn("state", F.lit("pending"))
         if old is not None:
             status = self._moved(status, old.select("b").distinct(), "rejected")
         for _ in range(LEADER_ROUNDS):
-            status = self._lead(bands, firsts, status)
+            status = self._lead(bands, status)
         if not status.filter("state = 'pending'").isEmpty():
-            status = self._settle(bands, firsts, status)
+            status = self._settle(bands, status)
         # Every match of a rejected class with a class accepted in this batch; copies may come after it where the first doesn't.
-        took = bands.join(status.filter("state = 'accepted'").select("record"), "record", "left_semi")
-        gone = bands.join(status.filter("state = 'rejected'").select("record"), "record", "left_semi")
-        found = self._verified(self._candidates(gone, took), firsts, firsts).withColumn("old", F.lit(False))
+        stated = bands.join(status, "record")
+        took = stated.filter("state = 'accepted'").drop("state")
+        found = self._matching(stated.filter("state = 'rejected'"), took).withColumn("old", F.lit(False))
         if old is not None:
             found = found.unionByName(old.withColumn("old", F.lit(True)))
         # Copies of an accepted class are rejected by its first record; copies of a rejected one by what was accepted before them.
         copies = classes.select("first", F.explode("copies").alias("record"))
-        judged = copies.join(status.select(F.col("record").alias("first"), "state"), "first")
-        yes = F.col("state") == "accepted"
-        own = judged.filter(yes & (F.col("record") != F.col("first"))).select(F.col("first").alias("a"), F.col("record").alias("b"))
-        theirs = judged.filter(~yes).join(found.withColumnRenamed("b", "first"), "first").filter(F.col("old") | (F.col("a") < F.col("record")))
-        self.matches.append(own.unionByName(theirs.select("a", F.col("record").alias("b"))))
+        theirs = copies.join(found.withColumnRenamed("b", "first"), "first").filter(F.col("old") | (F.col("a") < F.col("record")))
+        yes = status.filter("state = 'accepted'").select(F.col("record").alias("first"))
+        own = copies.filter("record <> first").join(yes, "first", "left_semi")
+        self.matches.append(theirs.select("a", F.col("record").alias("b")).unionByName(own.select(F.col("first").alias("a"), F.col("record").alias("b"))))
         self.bands.append(took.repartition("bucket"))
-        self.sets.append(firsts.join(status.filter(yes), "record", "left_semi"))
         drop(classes, bands, status, *([old] if old is not None else []))
-        tidy(self.spark)
-
-    def _candidates(self, new: DataFrame, known: DataFrame) -> DataFrame:
-        """(a, b): records b of ``new`` and a of ``known`` that share a band key and whose sizes allow a match."""
-        left = new.select(F.col("record").alias("b"), "n", "band", "bucket")
-        right = known.select(F.col("record").alias("a"), F.col("n").alias("m"), "band", "bucket")
-        fits = (F.col("n") >= F.lit(self.share) * F.col("m")) & (F.col("m") >= F.lit(self.share) * F.col("n"))
-        return left.join(right, ["bucket", "band"]).filter(fits).select("a", "b").distinct()
-
-    def _met_before(self, bands: DataFrame, firsts: DataFrame) -> DataFrame | None:
-        """The matches of the batch's classes with records accepted in earlier batches; None if there were none."""
-        index = self.bands.rows()
-        if index is None:
-            return None
-        return written(self._verified(self._candidates(bands, index), self.sets.rows(), firsts), "old")
 
     def _moved(self, status: DataFrame, records: DataFrame, to: str) -> DataFrame:
         """``status`` with the pending ones of ``records`` (one column) moved to the state ``to``."""
@@ -131,23 +121,22 @@ class IntakeIndex:
         state = F.when(F.col("hit").isNotNull() & (F.col("state") == "pending"), F.lit(to)).otherwise(F.col("state"))
         return status.join(hit, "record", "left").select("record", state.alias("state"))
 
-    def _lead(self, bands: DataFrame, firsts: DataFrame, status: DataFrame) -> DataFrame:
+    def _lead(self, bands: DataFrame, status: DataFrame) -> DataFrame:
         """One round: a pending record that leads all its buckets has no earlier match and is accepted; those that match an accepted leader are rejected."""
-        pending = bands.join(status.filter("state = 'pending'"), "record", "left_semi")
-        leaders = pending.groupBy("band").agg(F.min("record").alias("a"))
-        led = pending.join(leaders, "band").select(F.col("record").alias("b"), "a")
-        clear = led.groupBy("b").agg(F.min("a").alias("least")).filter("b = least").select("b")
-        accepted = self._moved(status, clear, "accepted")
-        pairs = led.filter("a < b").join(clear.withColumnRenamed("b", "a"), "a", "left_semi").distinct()
-        after = written(self._moved(accepted, self._verified(pairs, firsts, firsts).select("b").distinct(), "rejected"), "status")
+        pending = bands.join(status.filter("state = 'pending'").select("record"), "record", "left_semi")
+        leaders = pending.groupBy("band").agg(F.min("record").alias("leader"))
+        led = pending.join(leaders, "band")
+        clear = led.groupBy("record").agg(F.max(F.col("leader") != F.col("record")).alias("behind")).filter("NOT behind").select("record")
+        first = led.filter("leader = record").join(clear, "record", "left_semi")
+        beaten = self._matching(led.filter("leader <> record"), first).select("b").distinct()
+        after = written(self._moved(self._moved(status, clear, "accepted"), beaten, "rejected"), "status")
         drop(status)
         return after
 
-    def _settle(self, bands: DataFrame, firsts: DataFrame, status: DataFrame) -> DataFrame:
+    def _settle(self, bands: DataFrame, status: DataFrame) -> DataFrame:
         """Decide what is still pending: compare it pair by pair with earlier pending and accepted records, then take it in order."""
-        late = bands.join(status.filter("state = 'pending'").select("record"), "record", "left_semi")
-        live = bands.join(status.filter("state <> 'rejected'").select("record"), "record", "left_semi")
-        edges = written(self._verified(self._candidates(late, live).filter("a < b"), firsts, firsts), "edges")
+        stated = bands.join(status.filter("state <> 'rejected'"), "record")
+        edges = written(self._matching(stated.filter("state = 'pending'"), stated).filter("a < b"), "edges")
         while not status.filter("state = 'pending'").isEmpty():
             before = edges.join(status.select(F.col("record").alias("a"), F.col("state").alias("of_a")), "a")
             seen = before.groupBy(F.col("b").alias("record")).agg(
