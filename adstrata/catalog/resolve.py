@@ -24,7 +24,7 @@ def parsed_numbers(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "observations")
     written = F.concat(F.replace(F.format_number("area_m2", 2), F.lit("."), F.lit("_")), F.lit(" m²"))
     return o.select(
-        "id", numbers.parse_floor(F.col("floor")).alias("floor"), numbers.floor_number(F.col("floor")).cast("bigint").alias("floor_num"), numbers.normalize_phone(F.col("seller_phone")).alias("phone"),
+        "id", numbers.parse_floor(F.col("floor")).alias("floor"), numbers.floor_number(F.col("floor")).cast("string").alias("floor_num"), numbers.normalize_phone(F.col("seller_phone")).alias("phone"),
         numbers.parse_area(F.concat(F.replace(F.col("area_m2").cast("string"), F.lit("."), F.lit(",")), F.lit(" m²"))).alias("area"), numbers.is_precise(F.col("area_m2").cast("double")).alias("is_precise"),
         numbers.grouped_number(F.translate(written, ",_", ".,")).alias("grouped"),
     )
@@ -146,7 +146,7 @@ def upsert_listings(spark: SparkSession, d: str) -> DataFrame:
     seen = table(spark, d, "observations").groupBy("listing_id").agg(F.max("captured_at").alias("last_seen"))
     sightings = seen.join(ads.select(F.col("id").alias("listing_id"), "source", "source_id"), "listing_id").withColumn("url", F.lit(None).cast("string")).drop("listing_id")
     out = stores.seen_listings(ads, sightings)
-    return out.select("id", "source", "source_id", "url", F.unix_micros("first_seen").alias("first_seen"), F.unix_micros("last_seen").alias("last_seen"))
+    return out.select("id", "source", "source_id", "url", F.coalesce(F.unix_micros("first_seen"), F.lit(-1)).alias("first_seen"), F.unix_micros("last_seen").alias("last_seen"))
 
 
 def replaced_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -239,7 +239,7 @@ _SH = "list_distinct(list_transform(range(1, greatest(length({0}) - 4, 1) + 1),
 
 SQL = {
     "fold_text": f"SELECT id, coalesce({_FOLD.format('location_raw')}, '') AS folded, {_PLACE.format('location_raw')} AS place, lower(replace(strip_accents(translate(seller_name, 'đĐ', 'dD')), 'ß', 'ss')) AS seller FROM observations",
-    "parsed_numbers": f"SELECT id, {_FLOOR} AS floor, try_cast({_FLOOR} AS BIGINT) AS floor_num, {_PHONE} AS phone, area_m2::DOUBLE AS area, coalesce(abs(area_m2::DOUBLE - round_even(area_m2::DOUBLE, 0)) > 0.05, false) AS is_precise, area_m2::DOUBLE AS grouped FROM observations",
+    "parsed_numbers": f"SELECT id, {_FLOOR} AS floor, try_cast({_FLOOR} AS INT)::VARCHAR AS floor_num, {_PHONE} AS phone, area_m2::DOUBLE AS area, coalesce(abs(area_m2::DOUBLE - round_even(area_m2::DOUBLE, 0)) > 0.05, false) AS is_precise, area_m2::DOUBLE AS grouped FROM observations",
     "blocking_keys": f"""WITH {_NOW},
 f AS (SELECT listing_id, nullif(price_eur::DOUBLE, 0) AS price, nullif(area_m2::DOUBLE, 0) AS area, coalesce(location_norm, {_PLACE.format('location_raw')}, '') AS place, {_PHONE} AS phone FROM now_)
 SELECT DISTINCT listing_id, key_type, key_value FROM (
@@ -278,7 +278,7 @@ SELECT id, listing_id FROM o WHERE n = 1 OR price_eur IS DISTINCT FROM p OR area
     "content_hashes": """SELECT id, sha256('floor=' || coalesce('''' || floor || '''', 'null') || '|location_raw=' || coalesce('''' || location_raw || '''', 'null')
   || '|rooms=' || coalesce('''' || rooms || '''', 'null') || '|title=' || coalesce('''' || title || '''', 'null')) AS hash FROM observations""",
     "upsert_listings": """WITH ads AS (SELECT DISTINCT * FROM listings), s AS (SELECT listing_id, max(captured_at) AS seen FROM observations GROUP BY 1)
-SELECT id, source, source_id, url, epoch_us(first_seen) AS first_seen, epoch_us(greatest(last_seen, seen)) AS last_seen FROM ads LEFT JOIN s ON s.listing_id = id""",
+SELECT id, source, source_id, url, coalesce(epoch_us(first_seen), -1) AS first_seen, epoch_us(greatest(last_seen, seen)) AS last_seen FROM ads LEFT JOIN s ON s.listing_id = id""",
     "replaced_keys": f"""WITH {_LAST}, k AS (SELECT DISTINCT * FROM blocking_keys), n AS (SELECT * FROM k WHERE key_type = 'phone' AND listing_id IN (SELECT listing_id FROM last_))
 SELECT * FROM k WHERE listing_id NOT IN (SELECT listing_id FROM n) UNION ALL SELECT * FROM n""",
     "absent_listings": """WITH ads AS (SELECT DISTINCT * FROM listings),

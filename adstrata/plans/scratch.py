@@ -10,7 +10,6 @@ none, as in tests, a temporary folder of this machine is set.
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -75,12 +74,6 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffles and broadcasts of finished steps; it only acts when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def release() -> None:
     """Delete every scratch table that is left; frames that read one can't be used afterwards."""
     for path, spark in list(_made.items()):
