@@ -124,8 +124,8 @@ class IntakeIndex:
     def _lead(self, bands: DataFrame, status: DataFrame) -> DataFrame:
         """One round: a pending record that leads all its buckets has no earlier match and is accepted; those that match an accepted leader are rejected."""
         pending = bands.join(status.filter("state = 'pending'").select("record"), "record", "left_semi")
-        leaders = pending.groupBy("band").agg(F.min("record").alias("leader"))
-        led = pending.join(leaders, "band")
+        leaders = pending.groupBy("bucket", "band").agg(F.min("record").alias("leader"))
+        led = pending.join(leaders, ["bucket", "band"])
         clear = led.groupBy("record").agg(F.max(F.col("leader") != F.col("record")).alias("behind")).filter("NOT behind").select("record")
         first = led.filter("leader = record").join(clear, "record", "left_semi")
         beaten = self._matching(led.filter("leader <> record"), first).select("b").distinct()

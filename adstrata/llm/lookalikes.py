@@ -171,9 +171,10 @@ def _look(text: Column) -> Column:
 def with_looks(texts: DataFrame, text: str = "text") -> DataFrame:
     """``texts`` with ``kinds`` (of look-alikes, empty if none), ``skeleton`` and ``form`` (its one plain form).
 
-    A null text has nulls; an empty one is its own skeleton and form. Texts without an
-    unusual character never leave the JVM.
+    A null text has nulls; an empty one is its own skeleton and form. Columns of these
+    names in ``texts`` are replaced. Texts without an unusual character never leave the JVM.
     """
+    texts = texts.drop(*[c for c in ("kinds", "skeleton", "form") if c != text])
     unusual = texts.filter(_shaped(F.col(text)))
     plain = texts.filter(~F.coalesce(_shaped(F.col(text)), F.lit(False)))
     looked = unusual.withColumn("__l", _look(F.col(text))).select(*texts.columns, "__l.kinds", "__l.skeleton", "__l.form")
@@ -183,6 +184,7 @@ def with_looks(texts: DataFrame, text: str = "text") -> DataFrame:
 
 def cases(texts: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``texts`` that hold a look-alike, with the columns of ``with_looks``."""
+    texts = texts.drop(*[c for c in ("kinds", "skeleton", "form") if c != text])
     suspect = texts.filter(_suspect(F.col(text)))
     looked = suspect.withColumn("__l", _look(F.col(text))).select(*texts.columns, "__l.kinds", "__l.skeleton", "__l.form")
     return looked.filter((F.size("kinds") > 0) & (F.col(text) != F.col("skeleton")))

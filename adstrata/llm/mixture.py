@@ -45,6 +45,7 @@ def queued(sized: DataFrame, targets: DataFrame, slices: int = 1024, seed: int =
     ``weight``: its share, scaled over the sources with documents; ``budget``: half of the
     tokens of all documents, those of other sources and of none included.
     """
+    sized = sized.select("doc_id", "source", "tokens")
     total = sized.agg((F.coalesce(F.sum("tokens"), F.lit(0)) / 2).alias("budget"))
     own = sized.filter("source IS NOT NULL AND tokens > 0").join(targets_of(targets), "source")
     source = own.groupBy("source").agg(F.sum("tokens").alias("whole"), F.first("share").alias("share"))
