@@ -17,8 +17,9 @@ it comes last in the order, so that it is a band key only of records made mostly
 common keys, and those match one another or differ by rare keys. The order is fixed by
 that first batch: any order is right, this one is fast. Exact copies within a batch
 are handled as one class. Within a batch, the first pending record of each bucket is
-the bucket's leader; leaders decide most records in LEADER_ROUNDS rounds of one comparison per
-band key, and only what is left after LEADER_ROUNDS is compared pair by pair.
+the bucket's leader; leaders decide most records in rounds of one comparison per band
+key. Only when no more than PAIRS_PER_ROW comparisons per band row are left in the
+buckets is the rest compared pair by pair, so a group of near copies never meets itself.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from adstrata.plans.scratch import Appended, drop, written
 
-LEADER_ROUNDS = 1
+PAIRS_PER_ROW = 64
 
 
 def record_keys(keys: DataFrame) -> DataFrame:
@@ -96,10 +97,12 @@ class IntakeIndex:
         status = firsts.select("record").withColumn("state", F.lit("pending"))
         if old is not None:
             status = self._moved(status, old.select("b").distinct(), "rejected")
-        for _ in range(LEADER_ROUNDS):
+        left = 1
+        while left:
             status = self._lead(bands, status)
-        if not status.filter("state = 'pending'").isEmpty():
-            status = self._settle(bands, status)
+            left, pairs = self._left(bands, status)
+            if left and pairs <= PAIRS_PER_ROW * left:
+                status, left = self._settle(bands, status), 0
         # Every match of a rejected class with a class accepted in this batch; copies may come after it where the first doesn't.
         stated = bands.join(status, "record")
         took = stated.filter("state = 'accepted'").drop("state")
@@ -133,6 +136,13 @@ class IntakeIndex:
         drop(status)
         return after
 
+    def _left(self, bands: DataFrame, status: DataFrame) -> tuple[int, int]:
+        """How many band rows are pending, and how many comparisons with live records their buckets hold."""
+        live = bands.select("bucket", "band", "record").join(status.filter("state <> 'rejected'"), "record")
+        each = live.groupBy("bucket", "band").agg(F.count_if(F.col("state") == "pending").alias("pending"), F.count("*").alias("live"))
+        row = each.agg(F.coalesce(F.sum("pending"), F.lit(0)), F.coalesce(F.sum(F.col("pending") * F.col("live")), F.lit(0))).first()
+        return row[0], row[1]
+
     def _settle(self, bands: DataFrame, status: DataFrame) -> DataFrame:
         """Decide what is still pending: compare it pair by pair with earlier pending and accepted records, then take it in order."""
         stated = bands.join(status.filter("state <> 'rejected'"), "record")

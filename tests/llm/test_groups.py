@@ -148,3 +148,16 @@ def test_intake_of_copies_and_chains(spark):
     assert decisions.count() == 0 and matches.count() == 0
     decisions, matches = intake.deduplicated(b, k.limit(0))
     assert decisions.filter("accepted").count() == 52 and matches.count() == 0
+
+
+@pytest.mark.parametrize("per_row", [0.5, 64])
+def test_intake_of_near_copies(spark, monkeypatch, per_row):
+    # near copies that are no copies, whose first record trails another one in a bucket; few comparisons are allowed
+    monkeypatch.setattr(intake, "PAIRS_PER_ROW", per_row)
+    keys = [(i, "k", str(x)) for i in range(10, 60) for x in range(8)] + [(i, "own", str(i)) for i in range(10, 60)]
+    keys += [(1, "k", "0"), (1, "z", "1"), (1, "z", "2"), (1, "z", "3")] + [(100 + i, "c", str(x)) for i in range(20) for x in range(i, i + 6)]
+    batches = [(1, i) for i in [1, *range(10, 60), *range(100, 120)]]
+    b, k = spark.createDataFrame(batches, "batch_no int, listing_id long"), spark.createDataFrame(keys, "listing_id long, key_type string, key_value string")
+    decisions, matches = intake.deduplicated(b, k, common=5)
+    want, kept = accepted(batches, keys)
+    assert set(pairs(matches, "a", "b")) == want and {r.record for r in decisions.collect() if r.accepted} == kept
