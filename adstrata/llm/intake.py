@@ -17,9 +17,9 @@ it comes last in the order, so that it is a band key only of records made mostly
 common keys, and those match one another or differ by rare keys. The order is fixed by
 that first batch: any order is right, this one is fast. Exact copies within a batch
 are handled as one class. Within a batch, the first pending record of each bucket is
-the bucket's leader; leaders decide most records in rounds of one comparison per band
-key. Only when no more than PAIRS_PER_ROW comparisons per band row are left in the
-buckets is the rest compared pair by pair, so a group of near copies never meets itself.
+the bucket's leader; where the buckets hold more than PAIRS_PER_ROW comparisons per band
+row, leaders decide most records in rounds of one comparison per band key. Only the rest
+is compared pair by pair, so a large group of near copies never meets itself.
 """
 
 from __future__ import annotations
@@ -97,12 +97,13 @@ class IntakeIndex:
         status = firsts.select("record").withColumn("state", F.lit("pending"))
         if old is not None:
             status = self._moved(status, old.select("b").distinct(), "rejected")
-        left = 1
-        while left:
+        status = written(status, "status")
+        left, pairs = self._left(bands, status)
+        while pairs > PAIRS_PER_ROW * left:
             status = self._lead(bands, status)
             left, pairs = self._left(bands, status)
-            if left and pairs <= PAIRS_PER_ROW * left:
-                status, left = self._settle(bands, status), 0
+        if left:
+            status = self._settle(bands, status)
         # Every match of a rejected class with a class accepted in this batch; copies may come after it where the first doesn't.
         stated = bands.join(status, "record")
         took = stated.filter("state = 'accepted'").drop("state")
