@@ -28,12 +28,12 @@ def stale_texts(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "observations").filter("listing_id IS NOT NULL")
     first = current.top_per_key(o.select("listing_id", "captured_at", "id", "description"), ["listing_id"], ["captured_at", "id"], largest=False)
     seen = first.filter("description IS NOT NULL").select("listing_id", F.substring(F.sha2("description", 256), 1, 32).alias("text_hash"))
-    return rollup.stale(current.current_state(o), seen, "listing_id", "description").select("listing_id", "id")
+    return rollup.stale(current.current_state(o, ["description"]), seen, "listing_id", "description").select("listing_id", "id")
 
 
 def quoted_places(spark: SparkSession, d: str) -> DataFrame:
     """Whether the place of each listing's latest observation really stands in its title."""
-    now = current.current_state(table(spark, d, "observations"))
+    now = current.current_state(table(spark, d, "observations"), ["location_norm", "location_raw"])
     return now.select("listing_id", rollup.quoted(F.col("location_norm"), F.lower(F.col("location_raw"))).alias("is_quoted"))
 
 

@@ -34,7 +34,7 @@ def _doubles(df: DataFrame) -> DataFrame:
 
 
 def current_state(spark: SparkSession, d: str) -> DataFrame:
-    return _doubles(current.current_state(table(spark, d, "observations")).select("listing_id", "id", "captured_at", "title", "price_eur", "area_m2", "location_norm"))
+    return _doubles(current.current_state(table(spark, d, "observations"), ["title", "price_eur", "area_m2", "location_norm"]))
 
 
 def price_history(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +86,7 @@ def detail_history(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fulltext_rank(spark: SparkSession, d: str) -> DataFrame:
-    found = search.matching(search.listing_view(*_both(spark, d)), search.Search(q="stubište dimnjak", active_only=False))
+    found = search.matching(search.listing_view(*_both(spark, d), with_text=True), search.Search(q="stubište dimnjak", active_only=False))
     return found.select("listing_id", F.round("rank", 6).alias("rank"))
 
 

@@ -34,7 +34,7 @@ def stripped_snippets(spark: SparkSession, d: str) -> DataFrame:
     """The latest description of each listing without the snippets known of its seller."""
     snippets = table(spark, d, "seller_boilerplate")
     per_seller = snippets.filter("seller_name IS NOT NULL").groupBy("seller_name").agg(F.array_sort(F.collect_set("snippet")).alias("snippets"))
-    now = current.current_state(table(spark, d, "observations")).join(per_seller, "seller_name", "left")
+    now = current.current_state(table(spark, d, "observations"), ["seller_name", "description"]).join(per_seller, "seller_name", "left")
     return now.select("listing_id", text.without_snippets(F.col("description"), F.col("snippets")).alias("clean"))
 
 
@@ -81,7 +81,7 @@ def pair_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def pair_jaccard(spark: SparkSession, d: str) -> DataFrame:
     """Exact similarity of five-character shingles of the places and titles of the pairs compared."""
-    said = current.current_state(table(spark, d, "observations")).select("listing_id", text.shingles(F.lower(F.coalesce("title", F.lit("")))).alias("sh"))
+    said = current.current_state(table(spark, d, "observations"), ["title"]).select("listing_id", text.shingles(F.lower(F.coalesce("title", F.lit("")))).alias("sh"))
     a, b = said.toDF("a", "sa"), said.toDF("b", "sb")
     return _stored_pairs(spark, d).join(a, "a").join(b, "b").select("a", "b", F.round(text.jaccard(F.col("sa"), F.col("sb")), 6).alias("jaccard"))
 

@@ -1,7 +1,8 @@
 """The latest state of each ad and what its price did.
 
-Per-key picks are ``max_by`` / ``min_by`` aggregates on (time, id): they combine
-map-side and need no sort, where a window would sort every key's rows.
+Per-key picks are ``max_by`` / ``min_by`` aggregates on (time, id): every map task sends
+one row per key, however many rows a key has. They carry the row as one value, which
+hides unused columns from the optimizer, so callers name the columns they need.
 """
 
 from __future__ import annotations
@@ -22,9 +23,15 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
     return df.groupBy(*keys).agg(pick.alias("__row")).select(*keys, "__row.*")
 
 
-def current_state(observations: DataFrame) -> DataFrame:
-    """The latest observation of each listing; ties of time go to the higher id. Null listings are left out."""
-    return top_per_key(observations.filter("listing_id IS NOT NULL"), ["listing_id"], ["captured_at", "id"])
+def current_state(observations: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """The latest observation of each listing, all of it or listing_id, captured_at, id and ``columns``.
+
+    Ties of time go to the higher id; null listings are left out.
+    """
+    seen = observations.filter("listing_id IS NOT NULL")
+    if columns is not None:
+        seen = seen.select("listing_id", "captured_at", "id", *[c for c in columns if c not in ("listing_id", "captured_at", "id")])
+    return top_per_key(seen, ["listing_id"], ["captured_at", "id"])
 
 
 def price_per_m2() -> Column:
@@ -79,7 +86,7 @@ def price_drops(
     few = F.broadcast(drops.select("cluster_id"))  # at most ``limit`` rows
     ads = distinct_listings(listings).join(few, "cluster_id").select("cluster_id", F.col("id").alias("listing_id"), "source", "url", "active", F.col("last_seen").alias("ad_last_seen"))
     rep = top_per_key(ads, ["cluster_id"], ["active", "ad_last_seen", -F.col("listing_id")]).select("cluster_id", "listing_id", "source", "url")
-    shown = current_state(observations.join(F.broadcast(rep.select("listing_id")), "listing_id")).select("listing_id", "title", "location_raw", "area_m2")
+    shown = current_state(observations.join(F.broadcast(rep.select("listing_id")), "listing_id"), ["title", "location_raw", "area_m2"]).drop("id", "captured_at")
     points = history.join(few, "cluster_id").groupBy("cluster_id").agg(
         F.array_sort(F.collect_list(F.struct("captured_at", "observation_id", "price_eur", "listing_id"))).alias("points")
     )

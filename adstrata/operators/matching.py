@@ -17,7 +17,7 @@ def features(observations: DataFrame, snippets: DataFrame | None = None) -> Data
     ``snippets``: (seller_name, snippet) taken out of the descriptions of that seller; a
     description of which nothing is left counts whole.
     """
-    now = current_state(observations)
+    now = current_state(observations, ["price_eur", "area_m2", "rooms", "floor", "location_norm", "location_raw", "seller_phone", "seller_type", "seller_name", "description"])
     if snippets is not None:
         per_seller = snippets.filter("seller_name IS NOT NULL AND snippet IS NOT NULL").groupBy("seller_name").agg(F.array_sort(F.collect_set("snippet")).alias("snippets"))
         now = now.join(per_seller, "seller_name", "left")

@@ -53,10 +53,16 @@ SORTS = {
 }
 
 
-def listing_view(listings: DataFrame, observations: DataFrame) -> DataFrame:
-    """Each listing with its latest observation, price per m², and the key of its property (its cluster, else itself)."""
+SHOWN = ["title", "price_eur", "area_m2", "rooms", "floor", "location_raw", "location_norm", "seller_type", "seller_name", "seller_phone"]
+
+
+def listing_view(listings: DataFrame, observations: DataFrame, with_text: bool = False) -> DataFrame:
+    """Each listing with its latest observation, price per m², and the key of its property (its cluster, else itself).
+
+    Descriptions, by far the widest column, are only read ``with_text``.
+    """
     ads = distinct_listings(listings).withColumnRenamed("id", "listing_id").drop("category")
-    shown = current_state(observations).drop("id", "content_hash", "floor_num")
+    shown = current_state(observations, [*SHOWN, *["description"] * with_text]).drop("id")
     key = F.coalesce(F.concat(F.lit("c"), F.col("cluster_id").cast("string")), F.concat(F.lit("l"), F.col("listing_id").cast("string")))
     return ads.join(shown, "listing_id").withColumns({"price_per_m2": price_per_m2(), "group_key": key})
 
@@ -105,7 +111,7 @@ def collapsed(found: DataFrame, collapse: bool = True) -> DataFrame:
 
 def search(listings: DataFrame, observations: DataFrame, s: Search, hidden: DataFrame | None = None) -> DataFrame:
     """One page of results in order. ``relevance`` without words to look for means ``newest``."""
-    found = collapsed(matching(listing_view(listings, observations), s, hidden), s.collapse_duplicates)
+    found = collapsed(matching(listing_view(listings, observations, bool(s.q)), s, hidden), s.collapse_duplicates)
     return paged(found, s.sort if s.q or s.sort != "relevance" else "newest", s.page, s.page_size)
 
 
