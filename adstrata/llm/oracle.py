@@ -1,5 +1,29 @@
 """SQL of the queries, over whole tables."""
 
+from adstrata.llm import lookalikes
+
+
+def _class(chars: str) -> str:
+    """The characters as a class of ranges, for a regular expression in SQL."""
+    spans: list[list[int]] = []
+    for x in sorted(set(map(ord, chars))):
+        if spans and spans[-1][1] == x - 1:
+            spans[-1][1] = x
+        else:
+            spans.append([x, x])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
+
+
+_HIDDEN = _class(lookalikes.INVISIBLE)
+_WORD = r"[\p{L}\p{N}_]"
+_OTHER = r"[\p{Cyrillic}\p{Greek}\p{Armenian}\p{Cherokee}\p{Coptic}]"
+_LOOKALIKE = "|".join([
+    _class("".join(lookalikes.variants()) + lookalikes.spaces() + lookalikes.CROATIAN_LIKE),
+    rf"{_WORD}[\x{{300}}-\x{{36f}}]*{_HIDDEN}", f"{_HIDDEN}{_WORD}",
+    rf"\p{{Latin}}[\x{{300}}-\x{{36f}}]*{_OTHER}", rf"{_OTHER}[\x{{300}}-\x{{36f}}]*\p{{Latin}}",
+    r"\p{Greek}[\x{300}-\x{36f}]*\p{Cyrillic}", r"\p{Cyrillic}[\x{300}-\x{36f}]*\p{Greek}",
+])
+
 _LINE = "trim(lower(regexp_replace(regexp_replace({}, '[ \\t\\r]+', ' ', 'g'), '[0-9]+', '#', 'g')))"
 _KEPT = f"""
 worded AS (SELECT DISTINCT seller_name, listing_id, description FROM observations
@@ -42,6 +66,11 @@ SELECT id AS observation_id,
        CASE WHEN description IS NULL OR lines IS NULL THEN 0
             ELSE len(list_filter(raws, lambda x: list_contains(lines, {_LINE.format("x")}))) END::BIGINT AS removed
 FROM marked""",
+    "p5_found": f"""
+WITH t AS (SELECT id AS observation_id, 'title' AS field, title AS text FROM observations
+           UNION ALL SELECT id, 'description', description FROM observations)
+SELECT observation_id, field FROM t
+WHERE regexp_matches(text, '{_LOOKALIKE}') OR length(nfc_normalize(text)) < length(text)""",
     "p6_found": """
 WITH RECURSIVE p AS (
   SELECT least(listing_a, listing_b) AS a, greatest(listing_a, listing_b) AS b, lower(trim(decision)) AS decision,
