@@ -94,7 +94,7 @@ def image_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 def near_hashes(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), hashes.sign_bits(F.col("embedding")).alias("bits"))
-    return matching.near_hashes(e, near=20)
+    return matching.near_hashes(e)
 
 
 def cluster_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -258,6 +258,8 @@ FROM pairs JOIN s x ON x.listing_id = a JOIN s y ON y.listing_id = b""",
     "image_hashes": f"""WITH h AS (SELECT vec_id, {_SIGNED} AS bits FROM embeddings),
 u AS (SELECT vec_id, bits, CASE WHEN bits < 0 THEN bits::HUGEINT + 18446744073709551616::HUGEINT ELSE bits::HUGEINT END AS un FROM h)
 SELECT vec_id, bits, array_to_string(list_transform(range(0, 4), lambda i: i || ':' || printf('%04x', ((un >> (i * 16)::INT) % 65536)::INT)), ',') AS bands FROM u""",
+    "near_hashes": f"""WITH c AS (SELECT min(vec_id) AS id, bits FROM (SELECT vec_id, {_SIGNED} AS bits FROM embeddings) GROUP BY bits)
+SELECT x.id AS a, y.id AS b, bit_count(xor(x.bits, y.bits))::BIGINT AS distance FROM c x JOIN c y ON x.id < y.id WHERE bit_count(xor(x.bits, y.bits)) <= 7""",
     "cluster_roots": f"WITH RECURSIVE {_LINKS} SELECT x AS node, min(y) AS root FROM reach GROUP BY x",
     "review_queue": """WITH top AS (SELECT id, listing_a, listing_b, score FROM dedup_pairs
   WHERE lower(trim(decision)) = 'review' AND coalesce(trim(human_label), '') = '' ORDER BY score DESC NULLS LAST, id LIMIT 50),

@@ -162,11 +162,13 @@ def scored(pairs: DataFrame, feats: DataFrame, hashes_of: DataFrame | None = Non
     )
 
 
-def near_hashes(hashed: DataFrame, near: int = 8, bands: int = 4) -> DataFrame:
-    """(a, b, distance): hashes (id, bits) within ``near`` bits that share a band; complete for ``near`` < ``bands``.
+def near_hashes(hashed: DataFrame, near: int = 7, bands: int = 8) -> DataFrame:
+    """(a, b, distance): hashes (id, bits) within ``near`` bits that share a band; that is all of them, ``near`` being less than ``bands``.
 
     Equal hashes are one class: its least id stands for it.
     """
+    if near >= bands:
+        raise ValueError("hashes that differ in as many bits as there are bands may share none")
     classes = hashed.filter("bits IS NOT NULL").groupBy("bits").agg(F.min("id").alias("id"))
     keyed = classes.select("id", "bits", F.explode(hashes.hash_bands(F.col("bits"), bands)).alias("band"))
     left, right = keyed.toDF("a", "bits_a", "band"), keyed.toDF("b", "bits_b", "band")

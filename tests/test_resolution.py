@@ -107,3 +107,17 @@ def test_labels_hold(spark):
     got = {(r.listing_a, r.listing_b): (r.decision, r.human_label) for r in clusters.relabelled(pairs, labels).collect()}
     assert got == {(1, 2): ("merge", "different"), (3, 4): ("review", "same"), (7, 8): ("distinct", "different")}
     assert {tuple(r) for r in clusters.effective_links(spark.createDataFrame([(1, 2, " Merge", ""), (3, 4, "distinct", "SAME "), (5, 6, "merge", "different")], "listing_a long, listing_b long, decision string, human_label string")).collect()} == {(1, 2), (3, 4)}
+
+
+def test_near_hashes_finds_every_pair(spark):
+    rnd = random.Random(2)
+    base = [rnd.getrandbits(63) for _ in range(6)]
+    bits = [b ^ sum(1 << i for i in rnd.sample(range(63), rnd.randrange(9))) for b in base for _ in range(8)] + [base[0], base[0]]
+    df = spark.createDataFrame([*enumerate(bits), (99, None)], "id long, bits long")
+    first = {}
+    for i, b in enumerate(bits):
+        first.setdefault(b, i)
+    want = {(min(x, y), max(x, y), (a ^ b).bit_count()) for a, x in first.items() for b, y in first.items() if x != y and (a ^ b).bit_count() <= 7}
+    assert {tuple(r) for r in matching.near_hashes(df).collect()} == want and want
+    with pytest.raises(ValueError):
+        matching.near_hashes(df, near=8)
