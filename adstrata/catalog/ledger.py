@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adstrata.operators.history import OPEN, listing_ledger
+from adstrata.operators.history import OPEN, listing_ledger, recorded_listing_ledger
 from adstrata.sources.tables import table
 
 
@@ -18,8 +18,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_ledger(spark: SparkSession, d: str) -> DataFrame:
-    """The whole bitemporal ledger, superseded rows included."""
-    return listing_ledger(table(spark, d, "observations")).select(
+    """The whole bitemporal ledger, superseded rows included; recorded time is the id of the observation that brought or superseded a row."""
+    return recorded_listing_ledger(table(spark, d, "observations")).select(
         F.col("entity").alias("listing_id"), F.col("valid_from").alias("valid_from_us"), F.col("valid_to").alias("valid_to_us"),
         F.col("state.price_eur").cast("double").alias("price_eur"), F.col("state.hash").alias("content_hash"),
         F.col("recorded_from").cast("bigint").alias("recorded_from"), F.col("recorded_to").cast("bigint").alias("recorded_to"),

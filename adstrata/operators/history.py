@@ -10,12 +10,18 @@ into; the row it supersedes keeps its values and only gets a ``recorded_to``.
 Scale: an entity may hold a third of all rows, so no step collects or sorts an
 entity as a whole. The sweep runs in slices of ``slice_us`` of valid time; only
 the edges of slices (at most time span / slice_us per entity) are joined up.
+``recorded_ledger`` is the exception: its recorded time is each row's own place in
+the order of arrival, and a task replays one entity after another, keeping the
+points of the one at hand.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -105,6 +111,96 @@ def bitemporal_ledger(
     )
 
 
+def replayed(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """Ledger rows (valid_from, valid_to, state, recorded_from, recorded_to) of one entity's ``rows`` (at, seq, state) in order of ``seq``.
+
+    A new point can only change the row of the version before it, its own, and that of
+    the point after it; so there are at most three new rows for each of ``rows``.
+    """
+    points: list = []
+    starts: list = []
+    state_at: dict = {}
+    live: dict = {}  # start: (valid_to, state, recorded_from)
+    for seq, group in groupby(rows, lambda r: r[1]):
+        touched: set = set()
+        for at, _, state in group:
+            if at in state_at:
+                if state_at[at] == state:
+                    continue
+            else:
+                insort(points, at)
+            state_at[at] = state
+            i, s = bisect_left(points, at), bisect_left(starts, at)
+            if s:
+                touched.add(starts[s - 1])
+            for k in range(i, min(i + 2, len(points))):
+                t = points[k]
+                touched.add(t)
+                begins = k == 0 or state_at[points[k - 1]] != state_at[t]
+                j = bisect_left(starts, t)
+                if begins != (j < len(starts) and starts[j] == t):
+                    if begins:
+                        starts.insert(j, t)
+                    else:
+                        del starts[j]
+        for t in touched:
+            j = bisect_right(starts, t)
+            now = (starts[j] if j < len(starts) else OPEN, state_at[t]) if j and starts[j - 1] == t else None
+            was = live.get(t)
+            if was and was[:2] == now:
+                continue
+            if was:
+                yield t, *was, seq
+                del live[t]
+            if now:
+                live[t] = (*now, seq)
+    for t, row in live.items():
+        yield t, *row, OPEN
+
+
+def recorded_ledger(snapshots: DataFrame, entity: str, at: str, seq: str, state: Sequence[str | Column]) -> DataFrame:
+    """The ledger of ``snapshots`` with recorded time in terms of ``seq``: each row's arrival is an epoch of its own.
+
+    As ``bitemporal_ledger``, but ``recorded_from`` is the ``seq`` of the row that
+    brought a version and ``recorded_to`` that of the row that superseded it. Rows
+    without ``seq`` are left out too. Entities are spread over the tasks and a task
+    keeps the points of one entity, so the largest entity must fit in a worker's memory.
+    """
+    narrow = snapshots.select(
+        F.col(entity).alias("entity"), F.col(at).alias("at"), F.col(seq).alias("seq"), F.struct(*state).alias("state")
+    ).filter("entity IS NOT NULL AND at IS NOT NULL AND seq IS NOT NULL")
+    kinds = dict(narrow.dtypes)
+    schema = ", ".join(f"{c} {kinds[k]}" for c, k in zip(_LEDGER, ["entity", "at", "at", "state", "seq", "seq"]))
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict = {}
+
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                kept.update(zip(("entity", "at", "state", "seq"), (b.schema.field(c).type for c in ("entity", "at", "state", "seq"))))
+                fields = [f.to_pylist() for f in b.column("state").flatten()]
+                yield from zip(b.column("entity").to_pylist(), b.column("at").to_pylist(), b.column("seq").to_pylist(), zip(*fields))
+
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            entities, froms, tos, states, begins, ends = zip(*out)
+            types, values = kept["state"], list(zip(*states))
+            packed_states = pa.StructArray.from_arrays([pa.array(v, types.field(i).type) for i, v in enumerate(values)], fields=[types.field(i) for i in range(types.num_fields)])
+            flat = [(entities, "entity"), (froms, "at"), (tos, "at"), None, (begins, "seq"), (ends, "seq")]
+            return pa.RecordBatch.from_arrays([pa.array(x[0], kept[x[1]]) if x else packed_states for x in flat], names=_LEDGER)
+
+        out: list[tuple] = []
+        for e, group in groupby(rows(), lambda r: r[0]):
+            for r in replayed(g[1:] for g in group):
+                out.append((e, *r))
+                if len(out) == 10_000:
+                    yield batch(out)
+                    out = []
+        if out:
+            yield batch(out)
+
+    return narrow.repartition("entity").sortWithinPartitions("entity", "seq").mapInArrow(replay, schema)
+
+
 def extend_ledger(ledger: DataFrame, log: DataFrame, updates: DataFrame, epoch: int, slice_us: int = DAY_US) -> DataFrame:
     """``ledger`` after one more epoch of ``updates``, touching only the entities they name.
 
@@ -171,3 +267,10 @@ def listing_ledger(observations: DataFrame, epochs: int = 3) -> DataFrame:
     ledger = bitemporal_ledger(seen, "listing_id", "at", "id", ["price_eur", "hash"], F.coalesce(epoch, F.lit(0)), epochs)
     state = F.struct(F.col("state.price_eur").alias("price_eur"), unpacked(F.col("state.hash")).alias("hash"))
     return ledger.withColumn("state", state)
+
+
+def recorded_listing_ledger(observations: DataFrame) -> DataFrame:
+    """The ledger of ``price_eur`` and ``content_hash`` of each listing, recorded by ``id``, the order of arrival."""
+    seen = observed_states(observations).withColumn("hash", packed(F.col("hash")))
+    state = F.struct(F.col("state.price_eur").alias("price_eur"), unpacked(F.col("state.hash")).alias("hash"))
+    return recorded_ledger(seen, "listing_id", "at", "id", ["price_eur", "hash"]).withColumn("state", state)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from adstrata.operators.history import OPEN, bitemporal_ledger, extend_ledger, observed_states, packed, unpacked
+from adstrata.operators.history import OPEN, bitemporal_ledger, extend_ledger, observed_states, packed, recorded_ledger, recorded_listing_ledger, unpacked
 
 
 def replay(rows, upto):
@@ -85,3 +85,23 @@ def test_packing_round_trip(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", unpacked(packed(F.col("t"))).alias("u"), packed(F.col("t")).alias("p"))
     rows = df.collect()
     assert [r.u for r in rows] == texts and len({None if r.p is None else bytes(r.p) for r in rows}) == len(texts)
+
+
+def test_every_arrival_is_recorded(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice([1, 1, 1, 2, 3, None]), rnd.choice([None, *range(25)]), seq, rnd.choice(["a", "b", None]), seq) for seq in range(150)]
+    ledger = recorded_ledger(frame(spark, rows + rows[:10]), "entity", "at", "seq", ["v"]).cache()
+    for seq in range(150):
+        assert believed(ledger, seq) == replay(rows, seq)
+    keys = [(r.entity, r.valid_from, r.valid_to, r.state.v, r.recorded_from) for r in ledger.collect()]
+    ended = {(r.entity, r.valid_from, r.valid_to, r.state.v, r.recorded_to) for r in ledger.collect()}
+    assert len(keys) == len(set(keys)) and not ended & set(keys)
+    assert recorded_ledger(frame(spark, []), "entity", "at", "seq", ["v"]).count() == 0
+
+
+def test_a_late_row_next_to_the_row_it_splits_is_recorded(spark):
+    rows = [(1, 1, 10, "a"), (2, 1, 30, "b"), (3, 1, 20, "c"), *[(i, 2, i, "z") for i in range(100, 400)]]
+    o = spark.createDataFrame(rows, "id long, listing_id long, s long, content_hash string")
+    o = o.select("id", "listing_id", F.timestamp_seconds("s").alias("captured_at"), F.lit("t").alias("title"), F.lit("d").alias("description"), F.lit(1).cast("decimal(12,2)").alias("price_eur"), "content_hash")
+    got = {(r.valid_from // 10**6, r.valid_to // 10**6, r.state.hash, r.recorded_from, r.recorded_to) for r in recorded_listing_ledger(o).filter("entity = 1").collect()}
+    assert got == {(10, OPEN, "a", 1, 2), (10, 30, "a", 2, 3), (30, OPEN, "b", 2, OPEN), (10, 20, "a", 3, OPEN), (20, 30, "c", 3, OPEN)}
