@@ -53,18 +53,20 @@ def blocking_keys_text(spark: SparkSession, d: str) -> DataFrame:
     return matching.blocking_keys(matching.features(table(spark, d, "observations")))
 
 
+def _stored_keys(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "blocking_keys").select("listing_id", "key_type", F.lower(F.trim("key_value")).alias("key_value"))
+
+
 def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """The pairs of listings that share a number key of the stored keys; phones, one of which very many ads share, are left to the intake."""
-    keys = table(spark, d, "blocking_keys").filter("key_type IN ('area_city', 'price_place')").select("listing_id", "key_type", F.lower(F.trim("key_value")).alias("key_value"))
-    return matching.candidate_pairs(keys, block=200)
+    """The pairs of listings that share a stored key of any type."""
+    return matching.candidate_pairs(_stored_keys(spark, d), block=200)
 
 
 def touched_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """The candidate pairs that touch a listing of the last batch."""
+    """The pairs of listings that share a stored key of any type and touch a listing of the last batch."""
     batches = table(spark, d, "intake_batches")
     last = batches.join(F.broadcast(batches.agg(F.max("batch_no").alias("batch_no"))), "batch_no").select("listing_id")
-    keys = table(spark, d, "blocking_keys").filter("key_type IN ('area_city', 'price_place')").select("listing_id", "key_type", F.lower(F.trim("key_value")).alias("key_value"))
-    return matching.candidate_pairs(keys, last)
+    return matching.candidate_pairs(_stored_keys(spark, d), last)
 
 
 def _stored_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -61,7 +61,8 @@ def candidate_pairs(keys: DataFrame, touched: DataFrame | None = None, block: in
 
     A block of up to ``block`` listings meets itself in one join. A larger one is cut into
     parts of about that size, and each part meets each other part in a task of its own, so
-    no task gets the whole block; every pair of it is still found.
+    no task gets the whole block; every pair of it is still found. With ``touched``, only
+    the touched listings of a block meet each of its parts.
     """
     held = keys.select("listing_id", "key_type", "key_value").distinct()
     size = held.groupBy("key_type", "key_value").agg(F.count("*").alias("size")).filter("size > 1")
@@ -69,16 +70,18 @@ def candidate_pairs(keys: DataFrame, touched: DataFrame | None = None, block: in
     parts = F.ceil(F.col("size") / block).cast("int")
     part = F.pmod(F.xxhash64("listing_id"), parts).cast("int")
     sized = sized.withColumn("parts", parts).withColumn("part", part)
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    if touched is not None:
+        ids = touched.select("listing_id").distinct()
+        asked = sized.join(ids, "listing_id", "left_semi").select(F.col("listing_id").alias("a"), "key_type", "key_value", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        others = sized.select(F.col("listing_id").alias("b"), "key_type", "key_value", "part")
+        return asked.join(others, ["key_type", "key_value", "part"]).filter("a <> b").select(*pair).distinct()
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(F.col("part"), j).alias("low"), F.greatest(F.col("part"), j).alias("high")))
     spread = sized.select("listing_id", "key_type", "key_value", "part", F.explode(meets).alias("meet"))
     left = spread.filter("part = meet.low").select(F.col("listing_id").alias("a"), "key_type", "key_value", "meet")
     right = spread.filter("part = meet.high").select(F.col("listing_id").alias("b"), "key_type", "key_value", "meet")
     met = left.join(right, ["key_type", "key_value", "meet"]).filter("a <> b")
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    if touched is None:
-        return pairs
-    ids = touched.select(F.col("listing_id").alias("t")).distinct()
-    return pairs.join(ids, pairs.a == ids.t, "left_semi").unionByName(pairs.join(ids, pairs.b == ids.t, "left_semi")).distinct()
+    return met.select(*pair).distinct()
 
 
 @dataclass(frozen=True)

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from adstrata.catalog import resolve
 from adstrata.operators import clusters, matching
 
 COLUMNS = "listing_id long, area_m2 double, price_eur double, rooms double, floor string, loc string, seller_type string, seller_name string, phone string, clean_text string"
@@ -62,6 +63,15 @@ def test_candidates_keep_every_pair_of_a_large_block(spark, block):
     assert {tuple(r) for r in matching.candidate_pairs(keys, touched, block).collect()} == {p for p in want if 5 in p}
 
 
+def test_candidates_share_a_key_of_any_type(spark, tmp_path):
+    kinds = ["area_city", "area_band", "price_place", "phone", "phash_band", "text_band"]
+    rows = [(10 * i + j, t, v) for i, t in enumerate(kinds) for j, v in ((1, " Key"), (2, "key "), (3, "other"))] + [(91, "phone", "x"), (92, "text_band", "x")]
+    spark.createDataFrame(rows, "listing_id long, key_type string, key_value string").write.parquet(f"{tmp_path}/blocking_keys.parquet")
+    spark.createDataFrame([(1, 1), (2, 32), (2, 33), (2, 42)], "batch_no int, listing_id long").write.parquet(f"{tmp_path}/intake_batches.parquet")
+    assert {tuple(r) for r in resolve.candidate_pairs(spark, str(tmp_path)).collect()} == {(10 * i + 1, 10 * i + 2) for i in range(6)}
+    assert {tuple(r) for r in resolve.touched_pairs(spark, str(tmp_path)).collect()} == {(31, 32), (41, 42)}
+
+
 def roots(edges):
     top = {}
 
