@@ -117,9 +117,11 @@ def review_queue(spark: SparkSession, d: str) -> DataFrame:
 
 def relabelled(spark: SparkSession, d: str) -> DataFrame:
     """The pairs after their own labels, read as label events, are applied to the unlabelled rest."""
-    p = table(spark, d, "dedup_pairs").filter("listing_a < listing_b")
-    events = p.filter("trim(human_label) <> ''").select("listing_a", "listing_b", F.lower(F.trim("human_label")).alias("label"), F.col("labeled_at").alias("at"))
-    bare = p.filter("human_label IS NULL").groupBy("listing_a", "listing_b").agg(F.max_by(F.lower(F.trim("decision")), "id").alias("decision")).withColumn("human_label", F.lit(None).cast("string"))
+    label = F.nullif(F.lower(F.trim("human_label")), F.lit(""))
+    p = table(spark, d, "dedup_pairs").filter("listing_a <> listing_b").withColumn("label", label)
+    events = p.filter("label IS NOT NULL").select("listing_a", "listing_b", "label", F.col("labeled_at").alias("at"))
+    ordered = p.filter("label IS NULL").withColumns(clusters.ordered_pair())
+    bare = ordered.groupBy("listing_a", "listing_b").agg(F.max_by(F.lower(F.trim("decision")), "id").alias("decision")).withColumn("human_label", F.lit(None).cast("string"))
     return clusters.relabelled(bare, events)
 
 

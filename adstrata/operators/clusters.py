@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adstrata.plans.scratch import drop, written
@@ -85,14 +85,20 @@ def review_queue(pairs: DataFrame, listings: DataFrame, limit: int = 50) -> Data
     return top.join(a, "listing_a", "left").join(b, "listing_b", "left")
 
 
+def ordered_pair() -> dict[str, Column]:
+    """listing_a and listing_b, the lower id first."""
+    return {"listing_a": F.least("listing_a", "listing_b"), "listing_b": F.greatest("listing_a", "listing_b")}
+
+
 def relabelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """``pairs`` (listing_a, listing_b, decision, human_label, …) after label events (listing_a, listing_b, label, at): the latest label of a pair holds.
 
-    A pair that has a label keeps its decision; one that pairs doesn't hold is added with
-    the decision its label means.
+    Either may name a pair in either order; the result has the lower id first. A blank
+    label is none. A pair that has a label keeps its decision; one that pairs doesn't hold
+    is added with the decision its label means.
     """
-    pair = [F.least("listing_a", "listing_b").alias("listing_a"), F.greatest("listing_a", "listing_b").alias("listing_b")]
-    said = labels.select(*pair, "label", "at").groupBy("listing_a", "listing_b").agg(F.max_by("label", F.struct("at", "label")).alias("label"))
-    joined = pairs.join(said, ["listing_a", "listing_b"], "full_outer")
+    said = labels.filter("trim(label) <> ''").withColumns(ordered_pair()).groupBy("listing_a", "listing_b").agg(F.max_by("label", F.struct("at", "label")).alias("label"))
+    joined = pairs.withColumns(ordered_pair()).join(said, ["listing_a", "listing_b"], "full_outer")
     means = F.when(F.col("label") == "same", "merge").otherwise("distinct")
-    return joined.withColumns({"human_label": F.coalesce("label", "human_label"), "decision": F.coalesce("decision", means)}).drop("label")
+    held = F.when(F.trim("human_label") != "", F.col("human_label"))
+    return joined.withColumns({"human_label": F.coalesce("label", held), "decision": F.coalesce("decision", means)}).drop("label")

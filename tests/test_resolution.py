@@ -119,6 +119,19 @@ def test_labels_hold(spark):
     assert {tuple(r) for r in clusters.effective_links(spark.createDataFrame([(1, 2, " Merge", ""), (3, 4, "distinct", "SAME "), (5, 6, "merge", "different")], "listing_a long, listing_b long, decision string, human_label string")).collect()} == {(1, 2), (3, 4)}
 
 
+def test_pairs_and_labels_in_either_order(spark, tmp_path):
+    schema = "listing_a long, listing_b long, decision string, human_label string"
+    pairs = spark.createDataFrame([(2, 1, "merge", " "), (4, 3, "review", "same"), (5, 6, "merge", None)], schema)
+    labels = spark.createDataFrame([(1, 2, "different", 1), (6, 5, "same", 0), (5, 6, "", 1)], "listing_a long, listing_b long, label string, at int")
+    got = {(r.listing_a, r.listing_b): (r.decision, r.human_label) for r in clusters.relabelled(pairs, labels).collect()}
+    assert got == {(1, 2): ("merge", "different"), (3, 4): ("review", "same"), (5, 6): ("merge", "same")}
+    rows = [(1, 2, 1, "merge", "Same", 10), (2, 2, 1, "review", "different", 20), (3, 1, 2, "merge", None, None), (4, 2, 1, " Distinct", " ", None), (5, 8, 7, "merge", None, None), (6, 9, 9, "merge", "same", 1), (7, 3, 4, "x", " ", None), (8, 6, 5, "x", "SAME", None)]
+    table = spark.createDataFrame(rows, "id long, listing_a long, listing_b long, decision string, human_label string, s long")
+    table.withColumn("labeled_at", F.timestamp_seconds("s")).drop("s").write.parquet(f"{tmp_path}/dedup_pairs.parquet")
+    got = {(r.listing_a, r.listing_b): (r.decision, r.human_label) for r in resolve.relabelled(spark, str(tmp_path)).collect()}
+    assert got == {(1, 2): ("distinct", "different"), (7, 8): ("merge", None), (3, 4): ("x", None), (5, 6): ("merge", "same")}
+
+
 def test_near_hashes_finds_every_pair(spark):
     rnd = random.Random(2)
     base = [rnd.getrandbits(63) for _ in range(6)]
