@@ -95,8 +95,9 @@ def image_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of embeddings whose sign hashes differ in at most 20 bits: of eight bands one then differs in at most two."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), hashes.sign_bits(F.col("embedding")).alias("bits"))
-    return matching.near_hashes(e)
+    return matching.near_hashes(e, near=20, bands=8, radius=2)
 
 
 def cluster_groups(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -165,15 +166,24 @@ def scored(pairs: DataFrame, feats: DataFrame, hashes_of: DataFrame | None = Non
     )
 
 
-def near_hashes(hashed: DataFrame, near: int = 7, bands: int = 8) -> DataFrame:
-    """(a, b, distance): hashes (id, bits) within ``near`` bits that share a band; that is all of them, ``near`` being less than ``bands``.
+def near_hashes(hashed: DataFrame, near: int = 7, bands: int = 8, radius: int = 0) -> DataFrame:
+    """(a, b, distance): all hashes (id, bits) within ``near`` bits.
 
-    Equal hashes are one class: its least id stands for it.
+    Of two hashes within ``near`` bits some band differs in at most ``near // bands``
+    bits; each is looked up under every band that differs from its own in at most
+    ``radius`` bits, so ``near`` must be less than ``bands * (radius + 1)``. Equal hashes
+    are one class: its least id stands for it.
     """
-    if near >= bands:
-        raise ValueError("hashes that differ in as many bits as there are bands may share none")
+    if near >= bands * (radius + 1):
+        raise ValueError("hashes that differ in as many bits may have no band within the radius")
     classes = hashed.filter("bits IS NOT NULL").groupBy("bits").agg(F.min("id").alias("id"))
-    keyed = classes.select("id", "bits", F.explode(hashes.hash_bands(F.col("bits"), bands)).alias("band"))
-    left, right = keyed.toDF("a", "bits_a", "band"), keyed.toDF("b", "bits_b", "band")
+    ends = [64 * i // bands for i in range(bands + 1)]
+    part = lambda i: F.shiftrightunsigned("bits", ends[i]).bitwiseAND(F.lit((1 << (ends[i + 1] - ends[i])) - 1).cast("bigint"))
+    changed = lambda i: F.array(*[F.lit(sum(1 << k for k in at)).cast("bigint") for n in range(radius + 1) for at in combinations(range(ends[i + 1] - ends[i]), n)])
+    own = F.array(*[F.struct(F.lit(i).alias("band"), part(i).alias("value")) for i in range(bands)])
+    around = lambda i: F.transform(changed(i), lambda m: F.struct(F.lit(i).alias("band"), part(i).bitwiseXOR(m).alias("value")))
+    probes = F.flatten(F.array(*[around(i) for i in range(bands)]))
+    left = classes.select(F.col("id").alias("a"), F.col("bits").alias("bits_a"), F.inline(probes))
+    right = classes.select(F.col("id").alias("b"), F.col("bits").alias("bits_b"), F.inline(own))
     distance = hashes.hash_distance(F.col("bits_a"), F.col("bits_b")).cast("bigint")
-    return left.join(right, "band").filter("a < b").select("a", "b", distance.alias("distance")).filter(F.col("distance") <= near).distinct()
+    return left.join(right, ["band", "value"]).filter("a < b").select("a", "b", distance.alias("distance")).filter(F.col("distance") <= near).distinct()

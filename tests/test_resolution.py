@@ -144,3 +144,28 @@ def test_near_hashes_finds_every_pair(spark):
     assert {tuple(r) for r in matching.near_hashes(df).collect()} == want and want
     with pytest.raises(ValueError):
         matching.near_hashes(df, near=8)
+
+
+@pytest.mark.parametrize("near, bands, radius", [(8, 9, 0), (8, 5, 1), (20, 8, 2), (20, 21, 0)])
+def test_near_hashes_is_complete_at_larger_distances(spark, near, bands, radius):
+    rnd = random.Random(near + bands)
+    base = [rnd.getrandbits(63) for _ in range(4)]
+    bits = [b ^ sum(1 << i for i in rnd.sample(range(63), n)) for b in base for n in [0, 1, 7, 8, 8, 9, 12, 16, 20, 20, 21]]
+    bits += [b - (1 << 63) for b in base]
+    apart = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    want = {(x, y, apart(a, b)) for x, a in enumerate(bits) for y, b in enumerate(bits) if x < y and apart(a, b) <= near}
+    assert any(d == near for _, _, d in want)
+    df = spark.createDataFrame(list(enumerate(bits)), "id long, bits long")
+    assert {tuple(r) for r in matching.near_hashes(df, near, bands, radius).collect()} == want
+    with pytest.raises(ValueError):
+        matching.near_hashes(df, bands * (radius + 1), bands, radius)
+
+
+def test_near_hashes_query_reaches_twenty_bits(spark, tmp_path):
+    rnd = random.Random(4)
+    one = [rnd.choice([-1.0, 1.0]) for _ in range(64)]
+    flipped = lambda places: [-x if i in places else x for i, x in enumerate(one)]
+    spread = [8 * i + j for i in range(8) for j in range(3)]
+    rows = [(1, one), (2, flipped(spread[:8])), (3, flipped(spread[4:])), (4, flipped(range(64)))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {tuple(r) for r in resolve.near_hashes(spark, str(tmp_path)).collect()} == {(1, 2, 8), (1, 3, 20), (2, 3, 20)}
