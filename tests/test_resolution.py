@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adstrata.catalog import resolve
+from adstrata.functions import text
 from adstrata.operators import clusters, matching
 
 COLUMNS = "listing_id long, area_m2 double, price_eur double, rooms double, floor string, loc string, seller_type string, seller_name string, phone string, clean_text string"
@@ -169,3 +170,27 @@ def test_near_hashes_query_reaches_twenty_bits(spark, tmp_path):
     rows = [(1, one), (2, flipped(spread[:8])), (3, flipped(spread[4:])), (4, flipped(range(64)))]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert {tuple(r) for r in resolve.near_hashes(spark, str(tmp_path)).collect()} == {(1, 2, 8), (1, 3, 20), (2, 3, 20)}
+
+
+def test_pair_jaccard_reads_the_whole_text(spark, tmp_path):
+    texts = {1: "Svijetao stan s pogledom na park\nZvati iza 17 h", 2: "Svijetao stan s balkonom i garažom\nZvati iza 17 h", 3: "Kuća uz more, potpuno obnovljena", 4: "abc", 5: None}
+    sellers = {1: "A", 2: "A", 3: "B", 4: "B", 5: "B"}
+    rows = [(i, i, "Isti naslov", t, sellers[i]) for i, t in texts.items()]
+    o = spark.createDataFrame(rows, "id long, listing_id long, title string, description string, seller_name string")
+    nothing = {"price_eur": "decimal(12,2)", "area_m2": "decimal(8,2)", "rooms": "decimal(4,1)", "floor": "string", "location_norm": "string", "location_raw": "string", "seller_phone": "string", "seller_type": "string", "content_hash": "string"}
+    o = o.withColumns({c: F.lit(None).cast(t) for c, t in nothing.items()} | {"captured_at": F.timestamp_seconds("id")})
+    o.write.parquet(f"{tmp_path}/observations.parquet")
+    spark.createDataFrame([("A", "Zvati iza 17 h")], "seller_name string, snippet string").write.parquet(f"{tmp_path}/seller_boilerplate.parquet")
+    pairs = [(a, b) for a in texts for b in texts if a < b]
+    spark.createDataFrame(pairs, "listing_a long, listing_b long").write.parquet(f"{tmp_path}/dedup_pairs.parquet")
+    plain = {1: "svijetao stan s pogledom na park", 2: "svijetao stan s balkonom i garazom", 3: "kuca uz more, potpuno obnovljena", 4: "abc", 5: ""}
+    cut = {i: {t[k : k + 5] for k in range(max(1, len(t) - 4))} if t else set() for i, t in plain.items()}
+    want = {(a, b, round(len(cut[a] & cut[b]) / len(cut[a] | cut[b]), 6) if cut[a] and cut[b] else 0.0) for a, b in pairs}
+    assert 0 < max(j for _, _, j in want) < 1
+    assert {tuple(r) for r in resolve.pair_jaccard(spark, str(tmp_path)).collect()} == want
+
+
+def test_shingles_by_one_pass(spark):
+    texts = ["", "a", "abcd", "abcde", "ab\ncdef", "🏠🏠 stan 🏠🏠 stan", "x" * 30, "čćžšđ čćžšđ"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.filter(~F.array_sort(resolve._shingled(F.col("t"))).eqNullSafe(F.array_sort(text.shingles(F.col("t"))))).count() == 0
