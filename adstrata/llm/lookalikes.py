@@ -24,14 +24,24 @@ from pyspark.sql import functions as F
 # Letters of other alphabets and the Latin letters they look like.
 CYRILLIC_LIKE = "аеорсухіјѕԁһԛԝѵАВЕЅІЈКМНОРСТУХЗԌԚԜ"
 CYRILLIC_AS = "aeopcyxijsdhqwvABESIJKMHOPCTYX3GQW"
-GREEK_LIKE = "ονιαρυκΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
-GREEK_AS = "oviapukABEZHIKMNOPTYX"
+GREEK_LIKE = "ονιαρυκητεωΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
+GREEK_AS = "oviapukntewABEZHIKMNOPTYX"
+ARMENIAN_LIKE = "օսոհցյզՕՍՏԼ"
+ARMENIAN_AS = "ounhgjqOUSL"
+COPTIC_LIKE = "ⲟⲣⲥⲞⲢⲤⲎⲒⲔⲘⲚⲦⲬⲨ"
+COPTIC_AS = "opcOPCHIKMNTXY"
+CHEROKEE_LIKE = "ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏃᏏᏔᏕᏙᏚᏞᏟᏢᏦᏴ"
+CHEROKEE_AS = "DRTiAJEWMHYGZbWSVSLCPKB"
+# Only in skeletons: small forms of Latin capitals, by which a Cyrillic word would be read as a Latin one.
+SMALL_LIKE = "кмтнвб"
+SMALL_AS = "kmthb6"
 CROATIAN_LIKE = "ÐƉɖ"
 CROATIAN_AS = "ĐĐđ"
 # Characters without width or shape.
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
 
-_FOREIGN = dict(zip(CYRILLIC_LIKE + GREEK_LIKE, CYRILLIC_AS + GREEK_AS, strict=True))
+_FOREIGN = dict(zip(CYRILLIC_LIKE + GREEK_LIKE + ARMENIAN_LIKE + COPTIC_LIKE + CHEROKEE_LIKE, CYRILLIC_AS + GREEK_AS + ARMENIAN_AS + COPTIC_AS + CHEROKEE_AS, strict=True))
+_SMALL = dict(zip(SMALL_LIKE, SMALL_AS, strict=True))
 _CROATIAN = dict(zip(CROATIAN_LIKE, CROATIAN_AS, strict=True))
 _STYLES = ("<font>", "<wide>", "<narrow>", "<circle>")
 _SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE", "COPTIC")
@@ -126,7 +136,7 @@ def _plain_table() -> dict[int, str]:
 
 @cache
 def _skeleton_table() -> dict[int, str | None]:
-    return _plain_table() | {ord(c): None for c in INVISIBLE + "︎️"} | {ord(c): s for c, s in _FOREIGN.items()}
+    return _plain_table() | {ord(c): None for c in INVISIBLE + "︎️"} | {ord(c): s for c, s in (_FOREIGN | _SMALL).items()}
 
 
 def skeleton(text: str) -> str:
@@ -187,7 +197,7 @@ def cases(texts: DataFrame, text: str = "text") -> DataFrame:
     texts = texts.drop(*[c for c in ("kinds", "skeleton", "form") if c != text])
     suspect = texts.filter(_suspect(F.col(text)))
     looked = suspect.withColumn("__l", _look(F.col(text))).select(*texts.columns, "__l.kinds", "__l.skeleton", "__l.form")
-    return looked.filter((F.size("kinds") > 0) & (F.col(text) != F.col("skeleton")))
+    return looked.filter(F.array_contains("kinds", "mixed") | (F.size("kinds") > 0) & (F.col(text) != F.col("skeleton")))
 
 
 def groups(texts: DataFrame, text: str = "text") -> DataFrame:

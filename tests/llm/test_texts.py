@@ -68,6 +68,20 @@ def test_lookalikes(spark):
     assert lookalikes.cases(df.limit(0)).count() == 0
 
 
+def test_a_mixed_word_is_a_case_without_a_prototype(spark):
+    mixed = ["kлad", "stжn", "sտan", "Ꮙila", "ⲫin", "soбa", "гλ"]
+    df = spark.createDataFrame([(t,) for t in [*mixed, "клад", "stan 5"]], "text string")
+    assert sorted(r.text for r in lookalikes.cases(df).collect()) == sorted(mixed)
+
+
+def test_other_alphabets_have_the_skeleton_of_their_looks(spark):
+    alike = {"stօn": "ston", "ᎠᎪN": "DAN", "ⲟpⲥ": "opc", "sτan": "stan", "ηova": "nova", "eмa": "ema", "тoк": "tok"}
+    for t, plain in alike.items():
+        assert lookalikes.skeleton(t) == plain and "mixed" in lookalikes.kinds(t)
+        df = spark.createDataFrame([(t,), (plain,)], "text string")
+        assert [r.variants for r in lookalikes.groups(df).collect()] == [2]
+
+
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet="abčćđžÐАаеΑο ǆﬁ́̌​­Ａ𝗔5 ²½-", max_size=12), min_size=1, max_size=60))
 def test_the_jvm_filter_loses_no_case(spark, texts):
