@@ -13,7 +13,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _made: dict[str, SparkSession] = {}
 
@@ -32,32 +33,65 @@ def folder(spark: SparkSession) -> str:
     return set_dir.rstrip("/")
 
 
-def written(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
-    """``df`` written to the shared folder (a directory per value of ``by``) and read back, with ``df``'s schema."""
+def written(df: DataFrame, name: str = "t") -> DataFrame:
+    """``df`` written to the shared folder and read back, with ``df``'s schema."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/adstrata/{name}-{uuid.uuid4().hex}"
-    _made[path] = spark
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch_path = path
     return back
 
 
-class Appended:
-    """A table in the shared folder that grows by appending; ``rows`` reads all of it by one scan."""
+def observed(rows: Observation) -> dict[str, int]:
+    """What an observation saw; nothing if the optimizer found the frame empty and dropped the observer with it."""
+    return rows.get if rows._jo.getRow().length() else {}
+
+
+def written_counted(df: DataFrame, name: str = "t") -> tuple[DataFrame, int]:
+    """``written`` and the number of rows, known from the same job."""
+    rows = Observation()
+    back = written(df.observe(rows, F.count(F.lit(1)).alias("n")), name)
+    return back, observed(rows).get("n", 0)
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver's process ends."""
+    path = f"{folder(spark)}/adstrata/{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, or None where there is none."""
+    p, fs = file_of(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
 
-    def __init__(self, spark: SparkSession, name: str, by: str | None = None):
-        self._spark, self._by, self._schema = spark, by, None
-        self._path = f"{folder(spark)}/adstrata/{name}-{uuid.uuid4().hex}"
-        _made[self._path] = spark
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Put a small file in place by renaming a finished one, so that a reader sees the old text or the new."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    p, fs = file_of(spark, path)
+    aside, _ = file_of(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(aside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(aside, p, how)
 
-    def append(self, df: DataFrame) -> None:
-        self._schema = self._schema or df.schema
-        (df.write.partitionBy(self._by) if self._by else df.write).mode("append").parquet(self._path)
 
-    def rows(self) -> DataFrame | None:
-        """All rows appended so far, or None before the first ``append``."""
-        return self._spark.read.schema(self._schema).parquet(self._path) if self._schema else None
+def file_of(spark: SparkSession, path: str) -> tuple:
+    """(Hadoop path, its file system)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def drop(*frames: DataFrame) -> None:
@@ -65,13 +99,13 @@ def drop(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_scratch_path", None)
         if path and _made.pop(path, None) is not None:
-            _delete(df.sparkSession, path)
+            delete(df.sparkSession, path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    p, fs = file_of(spark, path)
+    fs.delete(p, True)
 
 
 def release() -> None:
@@ -79,7 +113,7 @@ def release() -> None:
     for path, spark in list(_made.items()):
         _made.pop(path, None)
         try:
-            _delete(spark, path)
+            delete(spark, path)
         except Exception:  # the session may be gone
             pass
 

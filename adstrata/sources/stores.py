@@ -1,7 +1,8 @@
 """Keyed upserts without a lakehouse format: each is a join of what is stored with what comes in.
 
 A result is a new version of the table; ``Versioned`` keeps the versions as parquet
-directories with a pointer that a reader follows, so a failed write is never seen.
+directories with a pointer that a reader follows, so a failed write is never seen;
+``Growing`` keeps a folder for each batch added.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from adstrata.functions.hashes import content_hash
 from adstrata.operators.current import top_per_key
+from adstrata.plans.scratch import delete, file_of, put_text, read_text
 
 
 def upserted(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], update: dict[str, Column | str], order: Sequence[str] = ()) -> DataFrame:
@@ -86,31 +88,53 @@ def positions(df: DataFrame, key: str, items: str) -> DataFrame:
 
 
 class Versioned:
-    """A table at ``path`` as a chain of whole versions; ``write`` publishes one by replacing the pointer file."""
+    """A table at ``path`` as whole versions; ``write`` publishes one by renaming a pointer file into place.
+
+    The version before stays for readers that follow it still; older ones are deleted.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        return jvm, p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _versions(self) -> list[str]:
+        text = read_text(self.spark, f"{self.path}/CURRENT")
+        return text.split() if text else []
 
     def version(self) -> str | None:
-        _, p, fs = self._fs()
-        if not fs.exists(p):
-            return None
-        return self.spark.read.text(p.toString()).first()[0]
+        return next(iter(self._versions()), None)
 
     def read(self) -> DataFrame | None:
         v = self.version()
         return None if v is None else self.spark.read.parquet(f"{self.path}/{v}")
 
     def write(self, df: DataFrame) -> str:
-        v = f"v-{uuid.uuid4().hex}"
+        v, before = f"v-{uuid.uuid4().hex}", self._versions()
         df.write.parquet(f"{self.path}/{v}")
-        _, p, fs = self._fs()
-        out = fs.create(p, True)
-        out.write(bytearray(v.encode()))
-        out.close()
+        put_text(self.spark, f"{self.path}/CURRENT", "\n".join([v, *before[:1]]))
+        for old in before[1:]:
+            delete(self.spark, f"{self.path}/{old}")
         return v
+
+
+class Growing:
+    """A table at ``path`` of one folder per batch; writing a batch again replaces its folder, so a batch never counts twice.
+
+    A folder counts once the job that wrote it has left its _SUCCESS file.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def put(self, df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def batches(self, below: int | None = None) -> list[int]:
+        """The numbers of the whole batches, those below ``below`` only if it is given."""
+        at, fs = file_of(self.spark, self.path)
+        found = [s.getPath() for s in fs.listStatus(at)] if fs.exists(at) else []
+        whole = [int(p.getName()[6:]) for p in found if p.getName().startswith("batch=") and fs.exists(file_of(self.spark, f"{p}/_SUCCESS")[0])]
+        return sorted(b for b in whole if below is None or b < below)
+
+    def read(self, below: int | None = None) -> DataFrame | None:
+        numbers = self.batches(below)
+        return self.spark.read.parquet(*[f"{self.path}/batch={b}" for b in numbers]) if numbers else None

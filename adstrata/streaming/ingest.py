@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from adstrata.sources.stores import Versioned, unseen
+from adstrata.sources.stores import Growing, unseen
 
 
 def landing(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 100) -> DataFrame:
@@ -29,14 +29,17 @@ def counts_per_day(stream: DataFrame, time: str = "captured_at", late: str = "2
     return days.agg(F.count("*").alias("snapshots")).select(F.col("w.start").alias("day"), "snapshots")
 
 
-def appended(stream: DataFrame, store: Versioned, checkpoint: str, keys: tuple[str, ...] = ("listing_id", "content_hash")) -> StreamingQuery:
-    """Append the unseen contents of what is there now to ``store`` and stop; a repeated batch adds nothing."""
+def appended(stream: DataFrame, store: Growing, checkpoint: str, keys: tuple[str, ...] = ("listing_id", "content_hash")) -> StreamingQuery:
+    """Append the unseen contents of what is there now to ``store``, a folder per micro-batch, and stop.
 
-    def fold(batch: DataFrame, _: int) -> None:
-        stored = store.read()
-        new = batch.dropDuplicates(list(keys)) if stored is None else unseen(stored, batch, keys)
-        if stored is None or not new.isEmpty():
-            store.write(new if stored is None else stored.unionByName(new))
+    A micro-batch that is run again replaces its own folder: it is compared with the
+    batches before it, so it adds what it added the first time. History is read by its
+    keys alone and never written again.
+    """
+
+    def fold(batch: DataFrame, number: int) -> None:
+        stored = store.read(below=number)
+        store.put(batch.dropDuplicates(list(keys)) if stored is None else unseen(stored, batch, keys), number)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

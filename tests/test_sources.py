@@ -45,6 +45,15 @@ def test_versions(spark, tmp_path):
     store.write(spark.range(3))
     store.write(spark.range(5))
     assert store.read().count() == 5
+    store.write(spark.range(7))
+    assert store.read().count() == 7 and len(list((tmp_path / "t").glob("v-*"))) == 2
+    grown = stores.Growing(spark, str(tmp_path / "g"))
+    assert grown.read() is None and grown.batches() == []
+    for batch, n in ((0, 3), (1, 5), (1, 2)):
+        grown.put(spark.range(n), batch)
+    assert grown.read().count() == 5 and grown.read(below=1).count() == 3
+    (tmp_path / "g" / "batch=1" / "_SUCCESS").unlink()
+    assert grown.batches() == [0]
 
 
 def test_json_records(spark, tmp_path):
@@ -92,7 +101,7 @@ def test_stream_appends_each_content_once(spark, tmp_path):
     schema = "listing_id long, content_hash string, captured_at timestamp"
     at = dt.datetime(2024, 1, 1)
     landing = str(tmp_path / "in")
-    store = stores.Versioned(spark, str(tmp_path / "out"))
+    store = stores.Growing(spark, str(tmp_path / "out"))
     put = lambda data: spark.createDataFrame(data, schema).write.mode("append").parquet(landing)
     put([(1, "a", at), (1, "a", at), (2, "b", at)])
     struct = spark.createDataFrame([], schema).schema
