@@ -35,6 +35,20 @@ sized AS (SELECT seller_name, count(DISTINCT listing_id) AS total FROM worded GR
 kept AS (SELECT seller_name, line, docs, total FROM held JOIN sized USING (seller_name) WHERE docs >= 4 AND docs >= 0.25 * total)
 """
 
+_WALK = """
+first_ AS (SELECT listing_id, min(batch_no) AS batch_no FROM intake_batches WHERE batch_no IS NOT NULL AND listing_id IS NOT NULL GROUP BY 1),
+turn AS (SELECT listing_id, batch_no, row_number() OVER (ORDER BY batch_no, listing_id) AS i FROM first_),
+k AS (SELECT DISTINCT i, key_type, lower(trim(key_value)) AS v FROM blocking_keys JOIN turn USING (listing_id) WHERE key_type IS NOT NULL AND key_value IS NOT NULL),
+n AS (SELECT i, count(*) AS n FROM k GROUP BY i),
+met AS (SELECT x.i AS a, y.i AS b, count(*) AS c FROM k x JOIN k y ON x.key_type = y.key_type AND x.v = y.v AND x.i < y.i GROUP BY ALL),
+hit AS (SELECT a, b FROM met JOIN n p ON p.i = a JOIN n q ON q.i = b WHERE 2 * c >= p.n + q.n - c),
+near AS (SELECT t.i, coalesce(list(a) FILTER (a IS NOT NULL), []) AS earlier FROM turn t LEFT JOIN hit ON b = t.i GROUP BY t.i),
+walk(i, taken) AS (
+  SELECT 0::BIGINT, []::BIGINT[]
+  UNION ALL SELECT near.i, CASE WHEN list_has_any(taken, earlier) THEN taken ELSE list_append(taken, near.i) END FROM walk JOIN near ON near.i = walk.i + 1),
+took AS (SELECT unnest(taken) AS i FROM walk WHERE i = (SELECT max(i) FROM walk))
+"""
+
 SQL = {
     "p2_found": """
 WITH row_of AS (SELECT DISTINCT cluster_id, id, first_seen, last_seen, category FROM listings WHERE cluster_id IS NOT NULL AND id IS NOT NULL),
@@ -48,6 +62,13 @@ kind AS (
   QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY last_seen DESC NULLS LAST, id) = 1)
 SELECT g.cluster_id, coalesce(s.id, g.lowest) AS canonical_listing_id, coalesce(k.id, -1) AS category_listing_id
 FROM grouped g LEFT JOIN seen s USING (cluster_id) LEFT JOIN kind k USING (cluster_id)""",
+    "p3_found": f"""
+WITH RECURSIVE {_WALK}
+SELECT least(x.listing_id, y.listing_id) AS listing_a, greatest(x.listing_id, y.listing_id) AS listing_b
+FROM hit JOIN took ON took.i = a JOIN turn x ON x.i = a JOIN turn y ON y.i = b""",
+    "p3_decisions": f"""
+WITH RECURSIVE {_WALK}
+SELECT listing_id, batch_no::BIGINT AS batch_no, i IN (SELECT i FROM took) AS accepted FROM turn""",
     "p4_found": f"""
 WITH {_KEPT},
 known AS (SELECT DISTINCT seller_name, {_LINE.format("raw")} AS line

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from adstrata.llm import components, intake, survivors
 from tests.test_resolution import roots
@@ -118,8 +119,8 @@ def accepted(batches, keys, share=0.5):
     return out, set(index)
 
 
-@pytest.mark.parametrize("seed, common", [(0, 100), (1, 3), (2, 3), (3, 0)])
-def test_intake(spark, seed, common):
+@pytest.mark.parametrize("seed, common, settings", [(0, 100, {}), (1, 3, {"bucket_rows": 40}), (2, 3, {"solo_edges": 0, "bucket_rows": 90}), (3, 0, {"broadcast_bands": 0})])
+def test_intake(spark, seed, common, settings):
     rnd = random.Random(seed)
     batches = [(rnd.randint(1, 4), i) for i in range(120)] + [(2, 5), (None, 500), (1, None)] + [(rnd.randint(1, 4), rnd.randrange(120)) for _ in range(20)]
     keys = []
@@ -130,7 +131,7 @@ def test_intake(spark, seed, common):
     keys += [(3, None, "x"), (3, "k", None), (None, "k", "x")]
     b = spark.createDataFrame(batches, "batch_no int, listing_id long")
     k = spark.createDataFrame(keys, "listing_id long, key_type string, key_value string")
-    decisions, matches = intake.deduplicated(b, k, common=common)
+    decisions, matches = intake.deduplicated(b, k, common=common, **settings)
     want, kept = accepted(batches, keys)
     assert set(pairs(matches, "a", "b")) == want and matches.count() == len(want)
     assert {r.record for r in decisions.collect() if r.accepted} == kept
@@ -150,14 +151,42 @@ def test_intake_of_copies_and_chains(spark):
     assert decisions.filter("accepted").count() == 52 and matches.count() == 0
 
 
-@pytest.mark.parametrize("per_row", [0.5, 64])
-def test_intake_of_near_copies(spark, monkeypatch, per_row):
+@pytest.mark.parametrize("per_row, solo", [(0.5, 1000), (64, 1000), (64, 2)])
+def test_intake_of_near_copies(spark, per_row, solo):
     # near copies that are no copies, whose first record trails another one in a bucket; few comparisons are allowed
-    monkeypatch.setattr(intake, "PAIRS_PER_ROW", per_row)
     keys = [(i, "k", str(x)) for i in range(10, 60) for x in range(8)] + [(i, "own", str(i)) for i in range(10, 60)]
     keys += [(1, "k", "0"), (1, "z", "1"), (1, "z", "2"), (1, "z", "3")] + [(100 + i, "c", str(x)) for i in range(20) for x in range(i, i + 6)]
     batches = [(1, i) for i in [1, *range(10, 60), *range(100, 120)]]
     b, k = spark.createDataFrame(batches, "batch_no int, listing_id long"), spark.createDataFrame(keys, "listing_id long, key_type string, key_value string")
-    decisions, matches = intake.deduplicated(b, k, common=5)
+    decisions, matches = intake.deduplicated(b, k, common=5, pairs_per_row=per_row, solo_edges=solo)
     want, kept = accepted(batches, keys)
     assert set(pairs(matches, "a", "b")) == want and {r.record for r in decisions.collect() if r.accepted} == kept
+
+
+def _record(i):
+    return [(i, "k", f"{i}-{x}") for x in range(5)] + [(i, "hot", "h")] * (i % 3 == 0)
+
+
+def test_intake_opened_again_reads_only_matching_buckets(spark, tmp_path):
+    keys_of = lambda ids: spark.createDataFrame([k for i in ids for k in _record(i)], "listing_id long, key_type string, key_value string")
+    batch_of = lambda rows: spark.createDataFrame(rows, "batch_no int, listing_id long")
+    probe, read = keys_of([10**6]), []
+    for n in (300, 1200):
+        path = str(tmp_path / f"index-{n}")
+        rows = [(1 + (i >= 40) + (i >= n // 2), i) for i in range(n)]
+        intake.deduplicated(batch_of(rows), keys_of(range(n)), common=20, path=path, bucket_rows=50)
+        index = intake.IntakeIndex(spark, path)
+        assert index.state["records"] == n and index.state["last"] == 3 and index.state["generation"] > 0
+        bands = index._bands(index._signatures(intake.record_keys(probe).withColumn("batch_no", F.lit(9)), None).withColumn("first", F.col("record")))
+        buckets = [r[0] for r in bands.select("bucket").distinct().collect()]
+        known = index.known(buckets)
+        assert "PartitionFilters: [bucket" in known._jdf.queryExecution().toString()
+        read.append(known.count())
+        # the key that was common only later is no band key of what is laid out since
+        assert index.known().groupBy("band").count().agg(F.max("count")).first()[0] < n // 3
+    assert read[1] < 3 * read[0] and read[1] < 900
+    # a later batch goes through the index that is there: copies of old records are rejected by it
+    more = spark.createDataFrame([k for i in range(5) for k in [(5000 + i, t, v) for _, t, v in _record(i)]], "listing_id long, key_type string, key_value string")
+    decisions, matches = intake.deduplicated(batch_of([(1, 0), (4, 5000), (4, 5001), (4, 7000)]), more, path=str(tmp_path / "index-300"))
+    assert {(r.a, r.b) for r in matches.filter("b >= 5000").collect()} == {(0, 5000), (1, 5001)}
+    assert {r.record: r.accepted for r in decisions.collect()} == {0: True, 5000: False, 5001: False, 7000: True}
