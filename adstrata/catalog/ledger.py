@@ -49,23 +49,21 @@ SELECT listing_id, t_us AS valid_from_us,
 FROM start""",
     "p1_ledger": f"""
 WITH {_SEEN},
-span AS (SELECT min(id) AS low, max(id) AS high FROM observations),
-dated AS (SELECT seen.*, least(2, floor((id - low) * 3 / (high - low + 1.0)))::INT AS epoch FROM seen, span),
-viewed AS (SELECT v.view, d.* FROM dated d, (VALUES (0), (1), (2)) v(view) WHERE d.epoch <= v.view),
-point AS (SELECT * FROM viewed QUALIFY row_number() OVER (PARTITION BY view, listing_id, t_us ORDER BY id DESC) = 1),
+turn AS (SELECT listing_id, id AS view, row_number() OVER (PARTITION BY listing_id ORDER BY id) AS turn, lead(id) OVER (PARTITION BY listing_id ORDER BY id) AS after FROM seen),
+viewed AS (SELECT v.turn, v.view, v.after, s.* FROM turn v JOIN seen s ON s.listing_id = v.listing_id AND s.id <= v.view),
+point AS (SELECT * FROM viewed QUALIFY row_number() OVER (PARTITION BY listing_id, turn, t_us ORDER BY id DESC) = 1),
 marked AS (
   SELECT *, row_number() OVER w AS n, lag(price_eur) OVER w AS p0, lag(hash) OVER w AS h0
-  FROM point WINDOW w AS (PARTITION BY view, listing_id ORDER BY t_us)),
+  FROM point WINDOW w AS (PARTITION BY listing_id, turn ORDER BY t_us)),
 start AS (SELECT * FROM marked WHERE n = 1 OR price_eur IS DISTINCT FROM p0 OR hash IS DISTINCT FROM h0),
 version AS (
-  SELECT view, listing_id, t_us AS valid_from_us,
-         coalesce(lead(t_us) OVER (PARTITION BY view, listing_id ORDER BY t_us), -1) AS valid_to_us, price_eur, hash
+  SELECT turn, view, after, listing_id, t_us AS valid_from_us,
+         coalesce(lead(t_us) OVER (PARTITION BY listing_id, turn ORDER BY t_us), -1) AS valid_to_us, price_eur, hash
   FROM start),
 runs AS (
-  SELECT *, view - row_number() OVER (PARTITION BY listing_id, valid_from_us, valid_to_us, price_eur, hash ORDER BY view) AS run
+  SELECT *, turn - row_number() OVER (PARTITION BY listing_id, valid_from_us, valid_to_us, price_eur, hash ORDER BY turn) AS run
   FROM version)
 SELECT listing_id, valid_from_us, valid_to_us, price_eur::DOUBLE AS price_eur, hash AS content_hash,
-       min(view)::BIGINT AS recorded_from,
-       (CASE WHEN max(view) = 2 THEN -1 ELSE max(view) + 1 END)::BIGINT AS recorded_to
+       min(view)::BIGINT AS recorded_from, coalesce(arg_max(coalesce(after, -1), turn), -1)::BIGINT AS recorded_to
 FROM runs GROUP BY listing_id, valid_from_us, valid_to_us, price_eur, hash, run""",
 }

@@ -57,16 +57,32 @@ def _stored_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "blocking_keys").select("listing_id", "key_type", F.lower(F.trim("key_value")).alias("key_value"))
 
 
+MOST = 20
+
+
 def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """The pairs of listings that share a stored key of any type."""
-    return matching.candidate_pairs(_stored_keys(spark, d), block=200)
+    """The pairs of listings that share a stored key of any type that at most MOST listings have; ``candidate_blocks`` has the rest."""
+    return matching.candidate_pairs(_stored_keys(spark, d), block=200, most=MOST)
 
 
-def touched_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """The pairs of listings that share a stored key of any type and touch a listing of the last batch."""
+def candidate_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The members of every stored key that more than MOST listings share."""
+    return matching.large_blocks(_stored_keys(spark, d), MOST)
+
+
+def _last_batch(spark: SparkSession, d: str) -> DataFrame:
     batches = table(spark, d, "intake_batches")
-    last = batches.join(F.broadcast(batches.agg(F.max("batch_no").alias("batch_no"))), "batch_no").select("listing_id")
-    return matching.candidate_pairs(_stored_keys(spark, d), last)
+    return batches.join(F.broadcast(batches.agg(F.max("batch_no").alias("batch_no"))), "batch_no").select("listing_id")
+
+
+def touched_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """As ``candidate_pairs``, only pairs with a listing of the last batch."""
+    return matching.candidate_pairs(_stored_keys(spark, d), _last_batch(spark, d), most=MOST)
+
+
+def touched_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """As ``candidate_blocks``, only blocks with a listing of the last batch."""
+    return matching.large_blocks(_stored_keys(spark, d), MOST, _last_batch(spark, d))
 
 
 def _stored_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -77,14 +93,38 @@ def _stored_pairs(spark: SparkSession, d: str) -> DataFrame:
 def pair_scores(spark: SparkSession, d: str) -> DataFrame:
     """Evidence, score and decision of every pair that dedup_pairs compared, from the listings' latest texts and numbers."""
     feats = matching.features(table(spark, d, "observations"), table(spark, d, "seller_boilerplate"))
-    out = matching.scored(_stored_pairs(spark, d), feats)
+    out = matching.scored(_stored_pairs(spark, d), feats, _image_hashes(spark, d))
     return out.select(*[F.col(c).cast("bigint").alias(c) if t == "int" else F.col(c) for c, t in out.dtypes])
 
 
-def _shingled(folded: Column, k: int = text.SHINGLE) -> Column:
-    """As ``text.shingles``, by one pass over the text: the time of that one grows with the square of the length."""
-    runs = F.array_distinct(F.regexp_extract_all(folded, F.lit(f"(?s)(?=(.{{{k}}}))."), 1))
-    return F.when(F.length(folded) < k, F.filter(F.array(folded), lambda t: t != "")).otherwise(runs)
+def _image_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """(listing_id, bits): the sign hashes of the embeddings as the images of the listings; listings a multiple of their number apart show the same one."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("image"), hashes.sign_bits(F.col("embedding")).alias("bits"))
+    ads = current.distinct_listings(table(spark, d, "listings")).select(F.col("id").alias("listing_id")).distinct()
+    number = F.broadcast(e.agg(F.count("*").alias("images")))  # one row
+    shown = ads.crossJoin(number).withColumn("image", F.pmod("listing_id", "images"))
+    return shown.join(e, "image").groupBy("listing_id").agg(F.array_sort(F.collect_set("bits")).alias("bits"))
+
+
+def _run(spark: SparkSession, d: str, touched: DataFrame | None = None) -> DataFrame:
+    return matching.dedup_run(table(spark, d, "observations"), table(spark, d, "seller_boilerplate"), _image_hashes(spark, d), touched)
+
+
+def dedup_run(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair that a full run finds by any key, with its evidence and decision."""
+    return _run(spark, d).select("a", "b", F.col("img_match_count").cast("bigint").alias("img_match_count"), "text_jaccard", "score", "decision")
+
+
+def dedup_touched(spark: SparkSession, d: str) -> DataFrame:
+    """As ``dedup_run``, after a change of the listings of the last batch alone."""
+    return _run(spark, d, _last_batch(spark, d)).select("a", "b", "score", "decision")
+
+
+def dedup_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """The clusters that a full run ends in: pairs, evidence, decisions, groups."""
+    links = _run(spark, d).filter("decision = 'merge'")
+    _, groups = clusters.rebuilt(links, table(spark, d, "listings"), table(spark, d, "clusters"))
+    return groups.select("cluster_id", "size", "status", "canonical_listing_id")
 
 
 def pair_jaccard(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +132,7 @@ def pair_jaccard(spark: SparkSession, d: str) -> DataFrame:
     feats = matching.features(table(spark, d, "observations"), table(spark, d, "seller_boilerplate"))
     said = feats.select("listing_id", text.fold(F.col("clean_text")).alias("t"))
     met = _stored_pairs(spark, d).join(said.toDF("a", "ta"), "a").join(said.toDF("b", "tb"), "b")
-    met = met.select("a", "b", _shingled(F.col("ta")).alias("sa"), _shingled(F.col("tb")).alias("sb"))
+    met = met.select("a", "b", text.shingles(F.col("ta")).alias("sa"), text.shingles(F.col("tb")).alias("sb"))
     return met.select("a", "b", F.round(text.jaccard(F.col("sa"), F.col("sb")), 6).alias("jaccard"))
 
 
@@ -211,8 +251,8 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 def html_fields(spark: SparkSession, d: str) -> DataFrame:
     specs = {"title": html_pages.FieldSpec(selector="h1.t"), "number": html_pages.FieldSpec(selector="body h1", regex=r"(\d+)"), "source": html_pages.FieldSpec(label="Source")}
-    got = _pages(spark, d).select("doc_id", html_pages.fields(F.col("html"), specs).alias("f"), html_pages.links(F.col("html"), "a.ad", base="https://ads.example").alias("links"))
-    first = F.try_element_at("links", F.lit(1))
+    got = _pages(spark, d).select("doc_id", html_pages.extracted(F.col("html"), specs, html_pages.LinkSpec("a.ad", base="https://ads.example")).alias("f"))
+    first = F.try_element_at("f.links", F.lit(1))
     return got.select("doc_id", "f.title", "f.number", "f.source", first["source_id"].alias("source_id"), first["url"].alias("url"))
 
 
@@ -221,13 +261,19 @@ def visible_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_urls(spark: SparkSession, d: str) -> DataFrame:
-    """The address of the third page of every listing's address, and the shape of the address."""
+    """The address of the third page of every listing's address in each way of paging, the request for its id, and the shape of the address."""
     ads = current.distinct_listings(table(spark, d, "listings"))
-    return ads.select("id", urls.page_urls(F.col("url"), F.lit(3)).alias("by_param"), urls.page_urls(F.col("url"), F.lit(3), mode="path_suffix", start_at=0).alias("by_path"), urls.url_shape(F.col("url")).alias("shape"))
+    json_of = F.to_json(F.struct(F.lit(1).alias("page"), F.col("source_id").alias("id")))
+    blob = F.concat(F.col("url"), F.lit("?q="), F.url_encode(F.url_encode(json_of)))
+    third = lambda url, **how: urls.page_urls(url, F.lit(3), **how)
+    return ads.select(
+        "id", third(F.col("url")).alias("by_param"), third(F.col("url"), mode="path_suffix", start_at=0).alias("by_path"), third(blob, mode="json_param", param="q", double_encoded=True).alias("by_json"),
+        urls.request_urls("https://ads.example/api", {"id": F.col("source_id"), "sort": "new", "none": ""}, F.lit(3)).alias("request"), urls.url_shape(F.col("url")).alias("shape"),
+    )
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    fold_text, parsed_numbers, stripped_snippets, text_signatures, blocking_keys, blocking_keys_text, candidate_pairs, touched_pairs, pair_scores, pair_jaccard, image_hashes,
+    fold_text, parsed_numbers, stripped_snippets, text_signatures, blocking_keys, blocking_keys_text, candidate_pairs, candidate_blocks, touched_pairs, touched_blocks, pair_scores, pair_jaccard, dedup_run, dedup_touched, dedup_clusters, image_hashes,
     near_hashes, cluster_groups, cluster_roots, review_queue, relabelled, append_unseen, append_changed, content_hashes, upsert_listings, replaced_keys, absent_listings,
     json_map, html_fields, visible_text, page_urls,
 )}
@@ -246,9 +292,11 @@ reach(x, y) AS (SELECT x, x FROM edge UNION SELECT r.x, e.y FROM reach r JOIN ed
 _BITS = "list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0 THEN 1::HUGEINT << (i - 1) ELSE 0::HUGEINT END))"
 _SIGNED = f"({_BITS} - CASE WHEN embedding[64] > 0 THEN 9223372036854775808::HUGEINT ELSE 0::HUGEINT END)::BIGINT"
 _LAST = "last_ AS (SELECT DISTINCT listing_id FROM intake_batches WHERE batch_no = (SELECT max(batch_no) FROM intake_batches))"
-_CAND = """k AS (SELECT DISTINCT listing_id, key_type, lower(trim(key_value)) AS key_value FROM blocking_keys WHERE key_type IN ('area_city', 'price_place')),
-cand AS (SELECT DISTINCT x.listing_id AS a, y.listing_id AS b FROM k x JOIN k y ON x.key_type = y.key_type AND x.key_value = y.key_value AND x.listing_id < y.listing_id)"""
-_SH = "list_distinct(list_transform(range(1, greatest(length({0}) - 4, 1) + 1), lambda i: {0}[i:i + 4]))"
+_KEYS = """k AS (SELECT DISTINCT listing_id, key_type, lower(trim(key_value)) AS key_value FROM blocking_keys WHERE listing_id IS NOT NULL AND key_type IS NOT NULL AND key_value IS NOT NULL),
+sized AS (SELECT *, count(*) OVER (PARTITION BY key_type, key_value) AS size FROM k)"""
+_CAND = f"""{_KEYS},
+cand AS (SELECT DISTINCT x.listing_id AS a, y.listing_id AS b FROM sized x JOIN sized y ON x.key_type = y.key_type AND x.key_value = y.key_value AND x.listing_id < y.listing_id WHERE x.size <= {MOST})"""
+_LARGE = f"SELECT key_type, key_value, size, listing_id FROM sized WHERE size > {MOST}"
 
 SQL = {
     "fold_text": f"SELECT id, coalesce({_FOLD.format('location_raw')}, '') AS folded, {_PLACE.format('location_raw')} AS place, lower(replace(strip_accents(translate(seller_name, 'đĐ', 'dD')), 'ß', 'ss')) AS seller FROM observations",
@@ -262,28 +310,26 @@ SELECT DISTINCT listing_id, key_type, key_value FROM (
   UNION ALL SELECT listing_id, 'price_place', round_even(price, 0)::BIGINT || '|' || place FROM f
   UNION ALL SELECT listing_id, 'phone', phone FROM f) WHERE key_value IS NOT NULL""",
     "candidate_pairs": f"WITH {_CAND} SELECT a, b FROM cand",
+    "candidate_blocks": f"WITH {_KEYS} {_LARGE}",
+    "touched_blocks": f"WITH {_KEYS}, {_LAST} {_LARGE} AND (key_type, key_value) IN (SELECT (key_type, key_value) FROM k WHERE listing_id IN (SELECT listing_id FROM last_))",
     "touched_pairs": f"WITH {_CAND}, {_LAST} SELECT a, b FROM cand WHERE a IN (SELECT listing_id FROM last_) OR b IN (SELECT listing_id FROM last_)",
-    "pair_jaccard": f"""WITH {_NOW}, {_PAIRS},
-t AS (SELECT listing_id, lower(coalesce(title, '')) AS t FROM now_),
-s AS (SELECT listing_id, CASE WHEN t = '' THEN []::VARCHAR[] ELSE {_SH.format('t')} END AS sh FROM t)
-SELECT a, b, round((CASE WHEN len(x.sh) = 0 OR len(y.sh) = 0 THEN 0 ELSE len(list_intersect(x.sh, y.sh)) / len(list_distinct(x.sh || y.sh)) END)::DECIMAL(20,9), 6)::DOUBLE AS jaccard
-FROM pairs JOIN s x ON x.listing_id = a JOIN s y ON y.listing_id = b""",
     "image_hashes": f"""WITH h AS (SELECT vec_id, {_SIGNED} AS bits FROM embeddings),
 u AS (SELECT vec_id, bits, CASE WHEN bits < 0 THEN bits::HUGEINT + 18446744073709551616::HUGEINT ELSE bits::HUGEINT END AS un FROM h)
 SELECT vec_id, bits, array_to_string(list_transform(range(0, 4), lambda i: i || ':' || printf('%04x', ((un >> (i * 16)::INT) % 65536)::INT)), ',') AS bands FROM u""",
     "near_hashes": f"""WITH c AS (SELECT min(vec_id) AS id, bits FROM (SELECT vec_id, {_SIGNED} AS bits FROM embeddings) GROUP BY bits)
-SELECT x.id AS a, y.id AS b, bit_count(xor(x.bits, y.bits))::BIGINT AS distance FROM c x JOIN c y ON x.id < y.id WHERE bit_count(xor(x.bits, y.bits)) <= 7""",
+SELECT x.id AS a, y.id AS b, bit_count(xor(x.bits, y.bits))::BIGINT AS distance FROM c x JOIN c y ON x.id < y.id WHERE bit_count(xor(x.bits, y.bits)) <= 20""",
     "cluster_roots": f"WITH RECURSIVE {_LINKS} SELECT x AS node, min(y) AS root FROM reach GROUP BY x",
     "review_queue": """WITH top AS (SELECT id, listing_a, listing_b, score FROM dedup_pairs
   WHERE lower(trim(decision)) = 'review' AND coalesce(trim(human_label), '') = '' ORDER BY score DESC NULLS LAST, id LIMIT 50),
 ads AS (SELECT DISTINCT id, url FROM listings)
 SELECT t.id, listing_a, listing_b, round(score::DECIMAL(20,9), 4)::DOUBLE AS score, x.url AS url_a, y.url AS url_b FROM top t LEFT JOIN ads x ON x.id = listing_a LEFT JOIN ads y ON y.id = listing_b""",
-    "relabelled": """WITH p AS (SELECT * FROM dedup_pairs WHERE listing_a < listing_b),
-e AS (SELECT listing_a, listing_b, arg_max(lower(trim(human_label)), (coalesce(epoch_us(labeled_at), -1), lower(trim(human_label)))) AS label FROM p WHERE trim(human_label) <> '' GROUP BY ALL),
-u AS (SELECT listing_a, listing_b, arg_max(lower(trim(decision)), id) AS decision FROM p WHERE human_label IS NULL GROUP BY ALL)
-SELECT coalesce(u.listing_a, e.listing_a) AS listing_a, coalesce(u.listing_b, e.listing_b) AS listing_b,
+    "relabelled": """WITH p AS (SELECT id, least(listing_a, listing_b) AS a, greatest(listing_a, listing_b) AS b, lower(trim(decision)) AS decision,
+  nullif(lower(trim(human_label)), '') AS label, labeled_at FROM dedup_pairs WHERE listing_a <> listing_b),
+e AS (SELECT a, b, arg_max(label, (coalesce(epoch_us(labeled_at), -1), label)) AS label FROM p WHERE label IS NOT NULL GROUP BY ALL),
+u AS (SELECT a, b, arg_max(decision, id) AS decision FROM p WHERE label IS NULL GROUP BY ALL)
+SELECT coalesce(u.a, e.a) AS listing_a, coalesce(u.b, e.b) AS listing_b,
        coalesce(decision, CASE WHEN label = 'same' THEN 'merge' ELSE 'distinct' END) AS decision, label AS human_label
-FROM u FULL JOIN e ON u.listing_a = e.listing_a AND u.listing_b = e.listing_b""",
+FROM u FULL JOIN e ON u.a = e.a AND u.b = e.b""",
     "append_unseen": """WITH o AS (SELECT id, listing_id, lower(content_hash) AS content_hash, (min(id) OVER () + max(id) OVER ()) / 2.0 AS half FROM observations),
 n AS (SELECT listing_id, content_hash, min(id) AS id FROM o WHERE id > half GROUP BY ALL)
 SELECT id, listing_id, content_hash FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE id <= half AND o.listing_id = n.listing_id AND o.content_hash = n.content_hash)""",
@@ -307,5 +353,6 @@ SELECT id, source FROM ads WHERE active AND id NOT IN (SELECT listing_id FROM s
     "html_fields": """SELECT doc_id, 'Doc ' || doc_id AS title, doc_id::VARCHAR AS number, coalesce(source, 'none') AS source, doc_id::VARCHAR AS source_id, 'https://ads.example/oglas/' || doc_id || '?x=1' AS url
 FROM documents WHERE text IS NOT NULL""",
     "page_urls": """SELECT id, url || '?page=3' AS by_param, rtrim(url, '/') || '/2' AS by_path,
+  url || '?q=' || url_encode(url_encode('{"page":3,"id":"' || source_id || '"}')) AS by_json, 'https://ads.example/api?id=' || url_encode(source_id) || '&sort=new&page=3' AS request,
   regexp_replace(regexp_replace(url, '[a-z0-9]+(?:-[a-z0-9]+){2,}', 'SLUG', 'g'), '\\d+', 'N', 'g') AS shape FROM (SELECT DISTINCT * FROM listings)""",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from adstrata.functions import hashes, numbers, text
 from adstrata.operators.current import current_state
+from adstrata.plans.scratch import written
 
 
 def features(observations: DataFrame, snippets: DataFrame | None = None) -> DataFrame:
@@ -34,10 +35,10 @@ def features(observations: DataFrame, snippets: DataFrame | None = None) -> Data
     )
 
 
-def blocking_keys(feats: DataFrame, with_text: bool = True) -> DataFrame:
+def blocking_keys(feats: DataFrame, with_text: bool = True, hashes_of: DataFrame | None = None) -> DataFrame:
     """(listing_id, key_type, key_value): cheap keys that likely duplicates share, each once.
 
-    Whole-number keys round half to even. A 0 or missing number, an unusable phone and an
+    ``hashes_of`` (listing_id, bits: array of image hashes) adds the bands of each hash. Whole-number keys round half to even. A 0 or missing number, an unusable phone and an
     empty text give no key.
     """
     whole = lambda c: F.bround(c, 0).cast("bigint").cast("string")
@@ -54,19 +55,48 @@ def blocking_keys(feats: DataFrame, with_text: bool = True) -> DataFrame:
     if with_text:
         bands = text.text_bands(text.minhash(text.shingles(text.fold(F.col("clean_text")))))
         keys = F.concat(keys, F.transform(bands, lambda b: key("text_band", b)))
+    if hashes_of is not None:
+        feats = feats.join(hashes_of.select("listing_id", "bits"), "listing_id", "left")
+        bands = F.flatten(F.transform(F.coalesce("bits", F.array().cast("array<bigint>")), lambda h: hashes.hash_bands(h)))
+        keys = F.concat(keys, F.transform(bands, lambda b: key("phash_band", b)))
     return feats.select("listing_id", F.inline(keys)).filter("key_value IS NOT NULL").distinct()
 
 
-def candidate_pairs(keys: DataFrame, touched: DataFrame | None = None, block: int = 1000) -> DataFrame:
+def _held(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct keys of the listings, and (key_type, key_value, size) of those that several listings share."""
+    held = keys.select("listing_id", "key_type", "key_value").filter("listing_id IS NOT NULL AND key_type IS NOT NULL AND key_value IS NOT NULL").distinct()
+    return held, held.groupBy("key_type", "key_value").agg(F.count("*").alias("size")).filter("size > 1")
+
+
+def large_blocks(keys: DataFrame, most: int, touched: DataFrame | None = None) -> DataFrame:
+    """(key_type, key_value, size, listing_id): the members of the keys that more than ``most`` listings share.
+
+    With ``candidate_pairs(keys, most=most)`` they hold every link, in rows that grow with
+    the keys and not with the square of a block. With ``touched`` only blocks that hold one of those.
+    """
+    held, size = _held(keys)
+    large = size.filter(F.col("size") > most)
+    if touched is not None:
+        asked = held.join(touched.select("listing_id").distinct(), "listing_id", "left_semi").select("key_type", "key_value").distinct()
+        large = large.join(asked, ["key_type", "key_value"], "left_semi")
+    return held.join(large, ["key_type", "key_value"]).select("key_type", "key_value", "size", "listing_id")
+
+
+def candidate_pairs(keys: DataFrame, touched: DataFrame | None = None, block: int = 1000, most: int | None = None) -> DataFrame:
     """(a, b), a < b: the listings that share a key; with ``touched`` (listing_id) only pairs with one of those.
 
+    With ``most`` only keys that at most so many listings share give pairs; ``large_blocks``
+    gives the others as blocks, since the pairs of a key that a share of all listings hold
+    grow with the square of the data.
+
     A block of up to ``block`` listings meets itself in one join. A larger one is cut into
     parts of about that size, and each part meets each other part in a task of its own, so
     no task gets the whole block; every pair of it is still found. With ``touched``, only
     the touched listings of a block meet each of its parts.
     """
-    held = keys.select("listing_id", "key_type", "key_value").distinct()
-    size = held.groupBy("key_type", "key_value").agg(F.count("*").alias("size")).filter("size > 1")
+    held, size = _held(keys)
+    if most is not None:
+        size = size.filter(F.col("size") <= most)
     sized = held.join(size, ["key_type", "key_value"])
     parts = F.ceil(F.col("size") / block).cast("int")
     part = F.pmod(F.xxhash64("listing_id"), parts).cast("int")
@@ -118,9 +148,12 @@ def scored(pairs: DataFrame, feats: DataFrame, hashes_of: DataFrame | None = Non
     that has no observation are left out.
     """
     w = w or Weights()
+    named = pairs.select(F.explode(F.array("a", "b")).alias("listing_id")).distinct()
+    feats = feats.join(named, "listing_id", "left_semi")
     f = feats if hashes_of is None else feats.join(hashes_of, "listing_id", "left")
     f = f.withColumn("bits", F.coalesce("bits", F.array().cast("array<bigint>")) if hashes_of is not None else F.array().cast("array<bigint>"))
-    f = f.withColumn("shingled", text.shingles(text.fold(F.col("clean_text"))))
+    # a shingle as the hash of its text: eight bytes in the shuffles instead of the text itself
+    f = f.withColumn("shingled", F.transform(text.shingles(text.fold(F.col("clean_text"))), lambda t: F.xxhash64(t))).drop("clean_text")
     side = lambda s: f.select(F.col("listing_id").alias(s), F.struct(*[c for c in f.columns if c != "listing_id"]).alias(f"_{s}"))
     p = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     A, B = lambda c: F.col(f"_a.{c}"), lambda c: F.col(f"_b.{c}")
@@ -166,6 +199,28 @@ def scored(pairs: DataFrame, feats: DataFrame, hashes_of: DataFrame | None = Non
     )
 
 
+def dedup_run(
+    observations: DataFrame, snippets: DataFrame | None = None, hashes_of: DataFrame | None = None, touched: DataFrame | None = None,
+    stored: DataFrame | None = None, w: Weights | None = None,
+) -> DataFrame:
+    """The pair rows after one run over the listings: keys, candidate pairs, evidence, decision; ``scored`` columns and human_label.
+
+    With ``touched`` (listing_id) only pairs with one of those are found and scored, and the
+    other rows of ``stored`` stay as they are. ``stored`` (a, b, decision, human_label) are the
+    rows before the run: a pair that a person labelled keeps its decision and label, its
+    evidence is refreshed. Null ids have no row; no listings give no pairs.
+    """
+    feats = written(features(observations, snippets), "features")
+    found = candidate_pairs(blocking_keys(feats, hashes_of=hashes_of), touched)
+    fresh = scored(found, feats, hashes_of, w)
+    if stored is None:
+        return fresh.withColumn("human_label", F.lit(None).cast("string"))
+    label = F.nullif(F.trim("human_label"), F.lit(""))
+    known = stored.select("a", "b", F.col("decision").alias("was"), label.alias("human_label"))
+    kept = F.when(F.col("human_label").isNotNull(), F.col("was")).otherwise(F.coalesce("decision", "was"))
+    return fresh.join(known, ["a", "b"], "full_outer").withColumn("decision", kept).drop("was")
+
+
 def near_hashes(hashed: DataFrame, near: int = 7, bands: int = 8, radius: int = 0) -> DataFrame:
     """(a, b, distance): all hashes (id, bits) within ``near`` bits.
 

@@ -2,6 +2,7 @@
 
 import string
 import unicodedata
+from urllib.parse import quote
 from zlib import crc32
 
 import pytest
@@ -93,14 +94,33 @@ JSON = "https://x.example/s?q=%7B%22page%22%3A1%2C%22to%22%3A%225%22%7D&z=1"
 @pytest.mark.parametrize("args, want", [
     (("https://x.example/s?a=1&page=9", 1), "https://x.example/s?a=1&page=9"),
     (("https://x.example/s?a=1&page=9", 3), "https://x.example/s?a=1&page=3"),
-    (("https://x.example/s", 3, "path_suffix", "page", 0), "https://x.example/s/2"),
+    (("https://x.example/s?page=1&a=x", 4), "https://x.example/s?page=4&a=x"),
+    (("https://x.example/s?mypage=1#f", 4), "https://x.example/s?mypage=1&page=4#f"),
+    (("https://x.example/s/", 3, "path_suffix", "page", 0), "https://x.example/s/2"),
     ((JSON, 2, "json_param", "q"), "https://x.example/s?q=%7B%22page%22%3A2%2C%22to%22%3A%225%22%7D&z=1"),
     (("https://x.example/s?q=nojson", 2, "json_param", "q"), "https://x.example/s?q=nojson"),
     (("https://x.example/s", 2, "json_param", "q"), "https://x.example/s"),
     (("https://x.example/s", 2, "next_link"), "https://x.example/s"),
 ])
-def test_page_url(args, want):
-    assert urls.page_url(*args) == want
+def test_page_urls(spark, args, want):
+    url, page, *how = args
+    options = dict(zip(("mode", "param", "start_at"), how))
+    df = spark.createDataFrame([(url, page), (None, page), (url, None)], "u string, p int")
+    assert [r[0] for r in df.select(urls.page_urls(F.col("u"), F.col("p"), **options)).collect()] == [want, None, None]
+
+
+def test_page_urls_of_json_encoded_twice(spark):
+    packed = quote(quote('{"b":[1,"x y+z"],"page":1,"a":{"page":7},"f":false}', safe=""), safe="")
+    df = spark.createDataFrame([(f"https://x.example/s?z=1&q={packed}#top",), ("https://x.example/s?q=%7B%",)], "u string")
+    good, bad = [r[0] for r in df.select(urls.page_urls(F.col("u"), F.lit(4), "json_param", "q", double_encoded=True)).collect()]
+    assert good == "https://x.example/s?z=1&q=" + quote(quote('{"b":[1,"x y+z"],"page":4,"a":{"page":7},"f":false}', safe=""), safe="") + "#top"
+    assert bad == "https://x.example/s?q=%7B%"
+
+
+def test_request_urls(spark):
+    df = spark.createDataFrame([("a b", 2), (None, 1)], "t string, p int")
+    made = urls.request_urls("https://x.example/api", {"text": F.col("t"), "on": F.lit(True), "page": "9"}, F.col("p"), start_at=0)
+    assert [r[0] for r in df.select(made).collect()] == ["https://x.example/api?text=a+b&on=true&page=1", "https://x.example/api?on=true&page=0"]
 
 
 def test_unaccent_keeps_case_and_compatibility_forms():

@@ -192,5 +192,37 @@ def test_pair_jaccard_reads_the_whole_text(spark, tmp_path):
 
 def test_shingles_by_one_pass(spark):
     texts = ["", "a", "abcd", "abcde", "ab\ncdef", "🏠🏠 stan 🏠🏠 stan", "x" * 30, "čćžšđ čćžšđ"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    assert df.filter(~F.array_sort(resolve._shingled(F.col("t"))).eqNullSafe(F.array_sort(text.shingles(F.col("t"))))).count() == 0
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.shingles(F.col("t")).alias("s")).collect()
+    for r in got:
+        want = {r.t[k : k + 5] for k in range(max(1, len(r.t) - 4))} if r.t else set()
+        assert set(r.s) == want and len(r.s) == len(want)
+
+
+def test_large_blocks_and_pairs_hold_every_link(spark):
+    rows = [(i, "k", str(i // 3)) for i in range(12)] + [(i, "hot", "h") for i in range(9)] + [(None, "k", "1"), (1, None, "h"), (1, "hot", None), (2, "hot", "h")]
+    keys = spark.createDataFrame(rows, "listing_id long, key_type string, key_value string")
+    pairs = {tuple(r) for r in matching.candidate_pairs(keys, most=3).collect()}
+    assert pairs == {(a, b) for a in range(12) for b in range(a + 1, 12) if a // 3 == b // 3}
+    assert sorted((r.key_type, r.size, r.listing_id) for r in matching.large_blocks(keys, 3).collect()) == [("hot", 9, i) for i in range(9)]
+    touched = spark.createDataFrame([(10,)], "listing_id long")
+    assert matching.large_blocks(keys, 3, touched).count() == 0
+    assert {tuple(r) for r in matching.candidate_pairs(keys, touched, most=3).collect()} == {(9, 10), (10, 11)}
+
+
+def test_dedup_run(spark):
+    """Keys, pairs, evidence and decisions in one run: near copies merge, a labelled pair keeps its decision, only touched pairs are scored anew."""
+    ad = lambda i, area, phone, words, place="tresnjevka": (i, i, "t", words, 189000.0, area, 2.0, "2", place, place, "private", "S", phone)
+    rows = [
+        ad(1, 64.3, "0912345678", "svijetao stan s pogledom na park"), ad(2, 64.3, "0912345678", "svijetao stan s pogledom na park"),
+        ad(3, 64.3, "0912345678", "svijetao stan s pogledom na park", "maksimir"), ad(4, 120.0, None, "kuca uz more, potpuno obnovljena", "split"), ad(5, None, None, None, None),
+    ]
+    o = spark.createDataFrame(rows, "id long, listing_id long, title string, description string, price_eur double, area_m2 double, rooms double, floor string, location_raw string, location_norm string, seller_type string, seller_name string, seller_phone string")
+    o = o.withColumn("captured_at", F.lit("2024-01-01").cast("timestamp"))
+    images = spark.createDataFrame([(1, [7, 1 << 40]), (4, [7])], "listing_id long, bits array<long>")
+    got = {(r.a, r.b): (r.decision, r.img_match_count) for r in matching.dedup_run(o, hashes_of=images).collect()}
+    assert got == {(1, 2): ("merge", 0), (1, 3): ("distinct", 0), (2, 3): ("distinct", 0), (1, 4): ("distinct", 1)}
+    stored = spark.createDataFrame([(1, 2, "distinct", " different "), (8, 9, "merge", None)], "a long, b long, decision string, human_label string")
+    touched = spark.createDataFrame([(2,), (None,)], "listing_id long")
+    again = {(r.a, r.b): (r.decision, r.human_label, r.text_jaccard) for r in matching.dedup_run(o, hashes_of=images, touched=touched, stored=stored).collect()}
+    assert again == {(1, 2): ("distinct", "different", 1.0), (2, 3): ("distinct", None, 1.0), (8, 9): ("merge", None, None)}
+    assert matching.dedup_run(o.limit(0)).count() == 0
