@@ -8,8 +8,11 @@ The documents are taken until the next one would exceed the budget.
 
 Scale: a source may hold a third of all rows, so its running sum is cut into
 ``slices`` by the shuffle hash: sums within a slice, plus the sums of the slices before
-it. The cut is found likewise: finish times fall into ``slices`` equal ranges whose
-sums say in which range the budget ends; only that range is sorted row by row.
+it. The queue is written once. The cut is found by ranges of finish time: ``slices`` equal
+ones say by their sums in which the budget ends, and that one is cut again, until it holds
+at most ``sort_rows`` rows, which one task sorts; so no weight, however small, makes a range
+large. Documents of one source never end at the same time, so a range that can't be cut
+holds a row for each source and turn at most.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from adstrata.plans.scratch import written
+
 
 def targets_of(targets: DataFrame) -> DataFrame:
     """(source, share, repeats): identical rows once; several different rows of a source add their shares, the highest cap holds.
@@ -62,7 +67,7 @@ def queued(sized: DataFrame, targets: DataFrame, slices: int = 1024, seed: int =
     )
 
 
-def mixture(sized: DataFrame, targets: DataFrame, slices: int = 1024, seed: int = 17) -> DataFrame:
+def mixture(sized: DataFrame, targets: DataFrame, slices: int = 1024, seed: int = 17, sort_rows: int = 100_000) -> DataFrame:
     """(doc_id, source, tokens, copies): the documents of the mixture and how often each is used.
 
     ``sized``: doc_id, source, tokens; ``targets``: source, target_share, max_repeats.
@@ -73,18 +78,31 @@ def mixture(sized: DataFrame, targets: DataFrame, slices: int = 1024, seed: int
     # no source can give more than the budget, which bounds the copies that can matter
     most = F.least(F.col("repeats"), F.ceil(F.col("budget") / F.col("whole")) + 1).cast("int")
     copies = queue.select("*", F.explode(F.sequence(F.lit(0), most - 1)).alias("turn"))
-    timed = copies.withColumn("finish", (F.col("turn") * F.col("whole") + F.col("upto")) / F.col("weight"))
-    # In range r all finish times are below (r + 1) / slices of the time at which the last source ends.
-    end = F.broadcast(timed.agg(F.max("finish").alias("end")))
-    ranged = timed.crossJoin(end).withColumn("range", F.least(F.lit(slices - 1), F.floor(F.col("finish") / F.col("end") * slices)).cast("int"))
-    before = _sums_before(ranged, [], "range", F.col("tokens"))
-    held = ranged.groupBy("range").agg(F.sum("tokens").alias("held"))
-    placed = ranged.join(F.broadcast(before.join(held, "range")), "range")  # a row per range
-    whole = placed.filter("base + held <= budget")
-    cut = placed.filter("base + held > budget AND base <= budget")
-    order = W.partitionBy("range").orderBy("finish", "source", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    last = cut.withColumn("taken", F.col("base") + F.sum("tokens").over(order)).filter("taken <= budget").drop("taken")
-    return whole.unionByName(last).groupBy("doc_id", "source", "tokens").agg(F.count("*").alias("copies"))
+    finish = (F.col("turn") * F.col("whole") + F.col("upto")) / F.col("weight")
+    timed = written(copies.select("doc_id", "source", "tokens", finish.alias("finish"), "budget"), "timed")
+    left = timed.agg(F.min("finish"), F.max("finish"), F.max("budget"), F.count("*"), F.sum("tokens")).first()
+    low, high, budget, rows, tokens = left
+    counted = timed.groupBy("doc_id", "source", "tokens").agg(F.count("*").alias("copies"))
+    if rows == 0 or tokens <= budget:
+        return counted
+    # ``before``: surely within the budget; ``cell``: where it ends, narrowed until one task can sort it
+    before, cell = F.lit(False), F.lit(True)
+    ranges = max(2, slices)  # of two or more ranges the least and the greatest time are in different ones, so each round cuts
+    while rows > sort_rows and high > low:
+        width = (high - low) / ranges
+        if low + width <= low:  # all at one time, as far as numbers tell
+            break
+        place = F.least(F.lit(ranges - 1), F.floor((F.col("finish") - F.lit(low)) / F.lit(width))).cast("int")
+        sums = timed.filter(cell).groupBy(place.alias("place")).agg(F.sum("tokens"), F.count("*"), F.min("finish"), F.max("finish")).orderBy("place").collect()  # at most ``slices`` rows
+        for at, held, n, first, last in sums:
+            if held > budget:
+                break
+            budget -= held
+        before, cell = before | (cell & (place < at)), cell & (place == at)
+        low, high, rows = first, last, n
+    order = W.orderBy("finish", "source", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    last = timed.filter(cell).withColumn("taken", F.sum("tokens").over(order)).filter(F.col("taken") <= budget).drop("taken")
+    return timed.filter(before).unionByName(last).groupBy("doc_id", "source", "tokens").agg(F.count("*").alias("copies"))
 
 
 def shares(mixed: DataFrame, sized: DataFrame, targets: DataFrame) -> DataFrame:

@@ -152,7 +152,7 @@ def test_mixture(spark, slices):
     targets = [("a", 0.2, 1), ("b", 0.5, 3), ("b", 0.5, 3), ("c", 0.2, None), ("d", 0.3, 1), ("e", 0.0, None), (None, 0.1, 1)]
     s = spark.createDataFrame([(*x, 1) for x in sized], "doc_id long, source string, tokens long, share int")
     t = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
-    out = mixture.mixture(s, t, slices)
+    out = mixture.mixture(s, t, slices, sort_rows=3)
     got = {r.doc_id: r for r in out.collect()}
     share, cap, own, budget = mixed(sized, targets)
     assert all(1 <= r.copies <= cap[r.source] and r.tokens > 0 for r in got.values())
