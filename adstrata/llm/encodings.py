@@ -13,9 +13,12 @@ itself, so a chain that only one word speaks for has no support, and weak eviden
 many records adds up. Sound clean counts come out of the same posteriors. Records are
 then judged and repaired by the posteriors of their words.
 
-Characters that no correct text of this kind holds (C1 controls, U+FFFD) make a word
-garbled whether or not a chain restores it; where characters were lost, the commonest
-clean word that fits around the losses is put in.
+Characters that hardly a correct text of this kind holds (C1 controls, U+FFFD) are evidence:
+a word with one is unlikely as it stands, and besides the chains that restore it, it may
+have gone through one that lost characters; that chain is latent like the others, with
+shares of its own. Where it is the likeliest, the commonest clean word that fits around
+the losses is put in. Chains deeper than LAYERS of UTF-8 aren't tried; such a word is
+still found if one of its outer layers can be peeled.
 
 Scale: one JVM pass over the texts finds the words with characters beyond ASCII; the
 rounds work on the vocabulary of those, by joins and combining aggregates. Nothing but
@@ -31,16 +34,16 @@ from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from adstrata.plans.scratch import drop, written
+from adstrata.plans.scratch import drop, observed, written, written_counted
 
 # The encodings that chains are made of.
 ENCODINGS = ["cp1252", "cp1250", "iso8859_2", "cp437", "cp852", "cp850", "mac_roman", "mac_latin2", "cp1251", "koi8_r", "cp866", "iso8859_5"]
 LAYERS = 4
-ROUNDS = 4
+LOST = "lost"
 # Fixed value: ASCII signs and digits, as a character class.
 AROUND = r"!-@\[-`{-~"
 _BEYOND = re.compile(r"[^\x00-\x7f]+")
@@ -141,23 +144,26 @@ def _hard(word: Column) -> Column:
     return word.rlike(r"[\x{80}-\x{9f}\x{fffd}]")
 
 
-def judged_words(words: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def judged_words(words: DataFrame, tolerance: float = 0.01, most_rounds: int = 50, words_a_task: int = 2000) -> DataFrame:
     """(word, garbled, form) of every garbled word: its posterior, and its likeliest repaired form (null where none is known).
 
-    ``words``: source, word; one row per record and word.
+    ``words``: source, word; one row per record and word. Rounds end when no posterior moves
+    by ``tolerance`` any more; ``most_rounds`` without an end are an error.
     """
     held = written(words.groupBy("source", "word").agg(F.count("*").alias("n")), "held")
-    count = written(held.groupBy("word").agg(F.sum("n").alias("n")).withColumn("hard", _hard(F.col("word"))), "count")
-    explained = count.select("word").mapInPandas(_explain, "word string, chain string, form string, bonus double, utf8 boolean")
+    count, n_words = written_counted(held.groupBy("word").agg(F.sum("n").alias("n")).withColumn("hard", _hard(F.col("word"))), "count")
+    # by number of words, not by bytes: a word costs thousands of trials
+    explained = count.select("word").repartition(max(1, -(-n_words // words_a_task))).mapInPandas(_explain, "word string, chain string, form string, bonus double, utf8 boolean")
     forms = count.select(F.col("word").alias("form"), F.col("n").alias("n_form"))
     # A form that no record holds only counts where it comes from well-formed UTF-8.
     known = explained.join(forms, "form", "left").filter("n_form IS NOT NULL OR utf8").join(count, "word")
-    known = written(known.withColumn("n_form", F.coalesce("n_form", F.lit(0))), "known")
+    known = known_written = written(known.withColumn("n_form", F.coalesce("n_form", F.lit(0))), "known")
     # ... and if all its characters are ones that the corpus holds.
     characters = lambda c: F.explode(F.array_distinct(F.split(F.regexp_replace(c, r"[\x00-\x7f]", ""), ""))).alias("c")
     alphabet = count.filter(~F.col("hard")).select(characters(F.col("word"))).distinct()
     strange = known.filter("n_form = 0").select("form").distinct().select("form", characters(F.col("form"))).join(alphabet, "c", "left_anti").select("form").distinct()
-    known = known.join(strange, "form", "left_anti")
+    lost = count.filter("hard").select("word", F.lit(LOST).alias("chain"), F.lit(None).cast("string").alias("form"), F.lit(1.0).alias("bonus"), F.lit(True).alias("utf8"), F.lit(0).cast("bigint").alias("n_form"), "n", "hard")
+    known = known.join(strange, "form", "left_anti").unionByName(lost)
     size = held.groupBy("source").agg(F.count("*").alias("size"))
     everything = count.agg(F.count("*").alias("all"))  # one row
     likely = (F.col("bonus") > 0) | ((F.col("n_form") >= 20 * F.col("n")) & (F.col("n_form") >= 5))
@@ -168,7 +174,7 @@ def judged_words(words: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     )
     all_of = F.sum("weight").over(W.partitionBy("word"))
     post = written(guess.withColumn("q", F.coalesce(F.col("p") * F.col("weight") / F.nullif(all_of, F.lit(0.0)), F.lit(0.0))).select(*known.columns, "q"), "post")
-    for _ in range(rounds):
+    for _ in range(most_rounds):
         clean = post.groupBy("word").agg(F.greatest(F.lit(0.0), 1 - F.sum("q")).alias("is_clean"))
         of_form = clean.select(F.col("word").alias("form"), F.col("is_clean").alias("form_clean"))
         by_source = held.join(post.filter("q > 0").select("word", "chain", "q"), "word").groupBy("source", "chain").agg(F.sum("q").alias("of_source"))
@@ -179,25 +185,32 @@ def judged_words(words: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             .join(by_source, ["source", "chain"], "left").join(by_chain, "chain").join(size, "source").crossJoin(F.broadcast(everything))
         )
         prior = spread.groupBy("word", "chain").agg(F.sum(share * F.col("n_here") / F.col("n")).alias("prior"))
-        scored = post.drop("q").join(prior, ["word", "chain"]).join(clean, "word").join(of_form, "form", "left")
+        scored = post.withColumnRenamed("q", "was").join(prior, ["word", "chain"]).join(clean, "word").join(of_form, "form", "left")
         floor = F.when(F.col("utf8"), 1e-4).otherwise(1e-9)
         x = F.greatest("prior", floor) * (F.col("n_form") * F.coalesce("form_clean", F.lit(1.0)) + F.col("utf8").cast("int")) * F.exp("bonus")
         null = (F.col("n") * F.col("is_clean") + 0.5) * F.when(F.col("hard"), 1e-6).otherwise(1.0)
         scored = scored.withColumn("x", x)
         q = F.col("x") / (F.sum("x").over(W.partitionBy("word")) + null)
-        after = written(scored.withColumn("q", q).select(*post.columns), "post")
+        move = Observation()
+        after = written(scored.withColumn("q", q).observe(move, F.max(F.abs(F.col("q") - F.col("was"))).alias("most")).select(*post.columns), "post")
         drop(post)
         post = after
-    best = post.groupBy("word").agg(F.sum("q").alias("garbled"), F.max_by("form", F.struct("q", "form")).alias("form"))
+        if (observed(move).get("most") or 0.0) < tolerance:
+            break
+    else:
+        raise RuntimeError(f"posteriors still move after {most_rounds} rounds")
+    read = F.when(F.col("chain") != LOST, F.col("q"))
+    best = post.groupBy("word").agg(F.sum("q").alias("garbled"), F.coalesce(F.sum(read), F.lit(0.0)).alias("read"), F.max_by("form", F.when(read.isNotNull(), F.struct(read.alias("q"), "form"))).alias("form"))
     gap = lambda w: F.regexp_replace(w, r"[^\x00-\x7f]", "�")
     fitting = (
         count.filter(~F.col("hard")).join(best.filter("garbled > 0.5").select("word"), "word", "left_anti")
         .groupBy(gap(F.col("word")).alias("gaps")).agg(F.max_by("word", F.struct("n", "word")).alias("fits"))
     )
     lost = count.filter(F.col("word").contains("�")).select("word", gap(F.col("word")).alias("gaps")).join(fitting, "gaps").select("word", "fits")
-    bad = count.join(best, "word", "left").filter(F.col("hard") | (F.col("garbled") > 0.5)).join(lost, "word", "left")
-    sure = F.when(F.col("garbled") > 0.5, F.col("form"))
-    return written(bad.select("word", F.when(F.col("hard"), 1.0).otherwise(F.col("garbled")).alias("garbled"), F.coalesce(sure, "fits").alias("form")), "bad")
+    bad = best.filter("garbled > 0.5").join(lost, "word", "left")
+    out = written(bad.select("word", "garbled", F.coalesce(F.when(F.col("read") > 0.5, F.col("form")), "fits").alias("form")), "bad")
+    drop(held, count, known_written, post)
+    return out
 
 
 def garbled_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
