@@ -39,7 +39,7 @@ def quoted_places(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"cluster_rollup": cluster_rollup, "stale_texts": stale_texts, "quoted_places": quoted_places}
 
-_FOLD = "trim(regexp_replace(lower(replace(strip_accents(translate({}, 'đĐ', 'dD')), 'ß', 'ss')), '\\s+', ' ', 'g'))"
+_FOLD = "trim(regexp_replace(strip_accents(lower({})), '\\s+', ' ', 'g'))"
 _NOW = "now_ AS (SELECT * FROM observations WHERE listing_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY captured_at DESC NULLS LAST, id DESC) = 1)"
 SQL = {
     "cluster_rollup": """WITH ads AS (SELECT DISTINCT * FROM listings)

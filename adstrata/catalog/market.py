@@ -77,8 +77,7 @@ def hidden_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def siblings(spark: SparkSession, d: str) -> DataFrame:
-    out = search.cluster_siblings(search.listing_view(*_both(spark, d)))
-    return out.select("listing_id", F.array_join("siblings", ",").alias("siblings"), "duplicate_count")
+    return search.cluster_siblings(search.listing_view(*_both(spark, d)))
 
 
 def detail_history(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +85,7 @@ def detail_history(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fulltext_rank(spark: SparkSession, d: str) -> DataFrame:
-    found = search.matching(search.listing_view(*_both(spark, d), with_text=True), search.Search(q="stubište dimnjak", active_only=False))
+    found = search.matching(search.listing_view(*_both(spark, d), with_text=True), search.Search(q="Cijena stan", active_only=False))
     return found.select("listing_id", F.round("rank", 6).alias("rank"))
 
 
@@ -116,6 +115,7 @@ def field_coverage(spark: SparkSession, d: str) -> DataFrame:
     return observations.join(ads, "listing_id").groupBy("source").agg(F.count("*").alias("observations"), *filled)
 
 
+FACET_SOURCES = ("krovnik", "oglasnik-mora", "stanovnica", "kvadrat-plus", "nekret-burza")
 SEARCHES = {
     "search_newest": {},
     "search_oldest": {"sort": "oldest"},
@@ -125,9 +125,11 @@ SEARCHES = {
     "search_per_m2_desc": {"sort": "price_per_m2_desc", "page": 2},
     "search_largest": {"sort": "area_desc", "collapse_duplicates": False, "active_only": False},
     "search_smallest": {"sort": "area_asc", "page_size": 20},
-    "search_facets": {"min_price": 100000, "max_price": 400000, "min_area": 40, "max_area": 150, "rooms": 2.0, "seller_type": "agency", "source": ("krovnik", "oglasnik-mora", "stanovnica"), "active_only": False},
-    "search_location": {"location": "zabiste", "active_only": False, "sort": "oldest"},
-    "search_words": {"q": "stubište dimnjak", "active_only": False, "sort": "newest"},
+    "search_facets": {"min_price": 50000, "max_price": 900000, "min_area": 20, "max_area": 300, "rooms": 2.0, "seller_type": "agency", "source": FACET_SOURCES, "active_only": False},
+    "search_location": {"location": "borov", "active_only": False, "sort": "oldest", "page_size": 200},
+    "search_words": {"q": "Cijena stan", "active_only": False, "sort": "newest", "page_size": 200},
+    "search_relevance": {"q": "Cijena stan", "active_only": False, "sort": "relevance", "page_size": 200},
+    "search_relevance_of_nothing": {"sort": "relevance"},
 }
 ENDED = {
     "ended_recent": ("recent", {}),
@@ -176,9 +178,12 @@ _SORT_SQL = {
     "price_per_m2": "nullif(price_per_m2, 0) ASC NULLS LAST, listing_id", "price_per_m2_desc": "nullif(price_per_m2, 0) DESC NULLS LAST, listing_id",
     "area_desc": "nullif(area_m2, 0) DESC NULLS LAST, listing_id", "area_asc": "nullif(area_m2, 0) ASC NULLS LAST, listing_id",
 }
+_SORT_SQL["relevance"] = f"rank DESC NULLS LAST, {_SORT_SQL['newest']}"
 _PLAIN = "lower(replace(strip_accents(translate({}, 'đĐ', 'dD')), 'ß', 'ss'))"
 _TOKENS = "regexp_extract_all(" + _PLAIN.format("coalesce(title, '') || ' ' || coalesce(description, '')") + r", '[\p{L}\p{N}]+')"
 
+_RANK = f"len(list_filter({_TOKENS}, lambda x: x IN ('cijena', 'stan'))) / len({_TOKENS})"
+
 
 def _search_sql(s: search.Search) -> str:
     where = ["TRUE"]
@@ -187,10 +192,10 @@ def _search_sql(s: search.Search) -> str:
     where += [f"source IN {tuple(s.source)}"] * bool(s.source) + [f"rooms = {s.rooms}"] * (s.rooms is not None)
     where += [f"seller_type = '{s.seller_type}'"] * bool(s.seller_type) + ["active"] * s.active_only + ["price_eur IS NOT NULL"] * s.has_price
     where += [f"{_PLAIN.format('location_raw')} LIKE '%{s.location}%'"] * bool(s.location)
-    where += [f"list_has_all({_TOKENS}, ['stubiste', 'dimnjak'])"] * bool(s.q)
+    where += [f"list_has_all({_TOKENS}, ['cijena', 'stan'])"] * bool(s.q)
     return f"""
 WITH {_VIEW},
-found AS (SELECT *, count(*) OVER (PARTITION BY group_key) AS duplicate_count,
+found AS (SELECT *, {_RANK if s.q else "0.0"} AS rank, count(*) OVER (PARTITION BY group_key) AS duplicate_count,
                  row_number() OVER (PARTITION BY group_key ORDER BY first_seen ASC NULLS LAST, listing_id) AS rn
           FROM view_ WHERE {" AND ".join(where)})
 SELECT listing_id, group_key, source, title, price_eur::DOUBLE AS price_eur, area_m2::DOUBLE AS area_m2, price_per_m2, duplicate_count
@@ -249,14 +254,12 @@ SELECT cluster_id, count(*) FILTER (WHERE before <> listing_id) AS reposts FROM
     **{k: _search_sql(search.Search(**v)) for k, v in SEARCHES.items()},
     "search_pages": f"WITH {_VIEW}, g AS (SELECT DISTINCT group_key FROM view_ WHERE active) SELECT count(*) AS total, ceil(count(*) / 50.0)::BIGINT AS pages FROM g",
     "hidden_groups": f"WITH {_VIEW} SELECT listing_id, group_key FROM view_ v WHERE NOT EXISTS (SELECT 1 FROM clusters c WHERE c.status = 'flagged' AND 'c' || c.id = v.group_key)",
-    "siblings": f"""WITH {_VIEW},
-other AS (SELECT a.listing_id, string_agg(b.listing_id::VARCHAR, ',' ORDER BY b.listing_id) AS siblings, count(*) AS n
-          FROM view_ a JOIN view_ b ON a.cluster_id = b.cluster_id AND a.listing_id <> b.listing_id GROUP BY a.listing_id)
-SELECT v.listing_id, coalesce(siblings, '') AS siblings, coalesce(n, 0) + 1 AS duplicate_count FROM view_ v LEFT JOIN other USING (listing_id)""",
+    "siblings": f"""WITH {_VIEW}, n AS (SELECT cluster_id, count(DISTINCT listing_id) AS n FROM view_ WHERE cluster_id IS NOT NULL GROUP BY cluster_id)
+SELECT DISTINCT v.listing_id, v.cluster_id, coalesce(n, 1) AS duplicate_count FROM view_ v LEFT JOIN n USING (cluster_id)""",
     "detail_history": f"""WITH {_ADS} SELECT coalesce('c' || l.cluster_id, 'l' || l.id) AS group_key, o.id AS observation_id, epoch_us(captured_at) AS captured_at, price_eur::DOUBLE AS price_eur, o.listing_id
 FROM observations o JOIN ads l ON l.id = o.listing_id WHERE price_eur IS NOT NULL""",
     "fulltext_rank": f"""WITH {_VIEW}, t AS (SELECT listing_id, {_TOKENS} AS tokens FROM view_)
-SELECT listing_id, {_R.format("len(list_filter(tokens, lambda x: x IN ('stubiste', 'dimnjak'))) / len(tokens)", 6)} AS rank FROM t WHERE list_has_all(tokens, ['stubiste', 'dimnjak'])""",
+SELECT listing_id, {_R.format("len(list_filter(tokens, lambda x: x IN ('cijena', 'stan'))) / len(tokens)", 6)} AS rank FROM t WHERE list_has_all(tokens, ['cijena', 'stan'])""",
     "area_medians": f"WITH {_VIEW}, {_MEDIAN} SELECT location_raw, {_R.format('median_price_per_m2', 4)} AS median_price_per_m2 FROM med",
     **{k: _ended_sql(s, v) for k, (s, v) in ENDED.items()},
     "stats_summary": f"""WITH {_CHANGES},

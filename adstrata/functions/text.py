@@ -56,6 +56,13 @@ def fold(c: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(F.lower(plain), r"(?U)\s+", " ")), F.lit(""))
 
 
+def fold_marks(c: Column) -> Column:
+    """As ``fold``, but đ and ß are letters of their own: the form in which a quotation is compared with its source; null as ''."""
+    given, plain = (x[:-2] for x in _bases(True))  # without đ and Đ
+    bare = F.regexp_replace(F.translate(F.lower(c), given, plain), r"\p{M}+", "")
+    return F.coalesce(F.trim(F.regexp_replace(bare, r"(?U)\s+", " ")), F.lit(""))
+
+
 def _folded(texts: pd.Series) -> pd.Series:
     table = str.maketrans({"đ": "d", "Đ": "D", "ß": "ss"})
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adstrata.functions.text import fold_marks
+
 
 def any_true(c: Column | str) -> Column:
     """Whether the flag is true in any row; null only if it is null in all."""
@@ -30,9 +32,7 @@ def evidence_map(key: Column | str, value: Column | str) -> Column:
 
 def quoted(quote: Column, text: Column) -> Column:
     """Whether a quote really stands in a text, both lower case, without accents and squeezed; an empty or null quote never does."""
-    from adstrata.functions.text import fold
-
-    return (fold(quote) != "") & F.contains(fold(text), fold(quote))
+    return (fold_marks(quote) != "") & F.contains(fold_marks(text), fold_marks(quote))
 
 
 def stale(rows: DataFrame, seen: DataFrame, key: str, text: str, hash_: str = "text_hash") -> DataFrame:

@@ -127,12 +127,20 @@ def page_counts(found: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     return found.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / size).cast("bigint"))
 
 
-def cluster_siblings(view: DataFrame) -> DataFrame:
-    """Every pair of different listings of one cluster is implied by: listing_id, its siblings (ids in order) and their number plus one."""
-    members = view.filter("cluster_id IS NOT NULL").groupBy("cluster_id").agg(F.array_sort(F.collect_set("listing_id")).alias("members"))
-    joined = view.select("listing_id", "cluster_id").join(members, "cluster_id", "left")
-    others = F.array_remove(F.coalesce("members", F.array().cast("array<bigint>")), F.col("listing_id"))
-    return joined.select("listing_id", others.alias("siblings"), (F.size(others) + 1).cast("bigint").alias("duplicate_count"))
+def cluster_siblings(view: DataFrame, listings: DataFrame | None = None) -> DataFrame:
+    """(listing_id, cluster_id, duplicate_count): each listing with its cluster and how many listings that has, 1 without a cluster.
+
+    The siblings of a listing are the other rows of its cluster: a row per listing says it
+    for all of them, where lists of siblings would grow with the square of a cluster. With
+    ``listings`` (listing_id) only the clusters of those are given.
+    """
+    rows = view.select("listing_id", "cluster_id").distinct()
+    if listings is not None:
+        asked = rows.join(listings.select("listing_id").distinct(), "listing_id", "left_semi")
+        alone = asked.filter("cluster_id IS NULL")
+        rows = rows.join(asked.select("cluster_id").distinct(), "cluster_id", "left_semi").select("listing_id", "cluster_id").unionByName(alone)
+    sizes = rows.filter("cluster_id IS NOT NULL").groupBy("cluster_id").agg(F.count("*").alias("n"))
+    return rows.join(sizes, "cluster_id", "left").select("listing_id", "cluster_id", F.coalesce("n", F.lit(1).cast("bigint")).alias("duplicate_count"))
 
 
 def detail_history(listings: DataFrame, observations: DataFrame) -> DataFrame:

@@ -126,3 +126,8 @@ def test_request_urls(spark):
 def test_unaccent_keeps_case_and_compatibility_forms():
     given_, plain = text._bases(False)
     assert len(given_) == len(plain) and "Ｓ" not in given_ and unicodedata.normalize("NFD", "Č")[0] == plain[given_.index("Č")]
+
+
+def test_fold_marks_keeps_letters_of_their_own(spark):
+    df = spark.createDataFrame([("ĐAČKI  Straße\u00a0Ａ",), (None,), ("đ",)], "t string")
+    assert [r[0] for r in df.select(text.fold_marks(F.col("t"))).collect()] == ["đacki straße a", "", "đ"]

@@ -49,7 +49,11 @@ def test_search_collapses_counts_and_sorts(spark):
     assert page(page_size=1, page=2) == [(2, 2)]
     hidden = spark.createDataFrame([("c9",)], "group_key string")
     assert [r.listing_id for r in search.search(l, o, search.Search(), hidden).collect()] == [3]
-    assert {(r.listing_id, tuple(r.siblings), r.duplicate_count) for r in search.cluster_siblings(search.listing_view(l, o)).collect()} == {(1, (2,), 2), (2, (1,), 2), (3, (), 1), (4, (), 1)}
+    view = search.listing_view(l, o)
+    rows = {(1, 9, 2), (2, 9, 2), (3, None, 1), (4, None, 1)}
+    assert {tuple(r) for r in search.cluster_siblings(view).collect()} == rows
+    asked = spark.createDataFrame([(2,), (4,), (None,)], "listing_id long")
+    assert {tuple(r) for r in search.cluster_siblings(view, asked).collect()} == rows - {(3, None, 1)}
 
 
 def test_ended(spark):
