@@ -49,10 +49,10 @@ def p4_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    """Every observation's description without its seller's recurring lines."""
+    """Every observation's description without the occurrences of its seller's blocks."""
     docs = table(spark, d, "observations").select("id", "listing_id", "seller_name", "description")
-    kept = boilerplate.boilerplate_lines(docs, "seller_name", "listing_id", "description")
-    out = boilerplate.without_boilerplate(docs, "seller_name", "listing_id", "description", kept)
+    blocks = boilerplate.boilerplate_blocks(docs, "seller_name", "listing_id", "description")
+    out = boilerplate.without_boilerplate(docs, "seller_name", "listing_id", "description", blocks)
     return out.select(F.col("id").alias("observation_id"), "cleaned", "removed")
 
 
