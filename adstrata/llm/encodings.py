@@ -165,7 +165,7 @@ def judged_words(words: DataFrame, tolerance: float = 0.01, most_rounds: int = 5
     lost = count.filter("hard").select("word", F.lit(LOST).alias("chain"), F.lit(None).cast("string").alias("form"), F.lit(1.0).alias("bonus"), F.lit(True).alias("utf8"), F.lit(0).cast("bigint").alias("n_form"), "n", "hard")
     known = known.join(strange, "form", "left_anti").unionByName(lost)
     size = held.groupBy("source").agg(F.count("*").alias("size"))
-    everything = count.agg(F.count("*").alias("all"))  # one row
+    sized = written(held.withColumnRenamed("n", "n_here").join(size, "source"), "sized")
     likely = (F.col("bonus") > 0) | ((F.col("n_form") >= 20 * F.col("n")) & (F.col("n_form") >= 5))
     first = known.groupBy("word", "n", "hard").agg(F.max(likely).alias("likely"))
     p = F.when(F.col("hard"), 0.99).when(F.col("likely"), 0.9).otherwise(0.0)
@@ -177,15 +177,16 @@ def judged_words(words: DataFrame, tolerance: float = 0.01, most_rounds: int = 5
     for _ in range(most_rounds):
         clean = post.groupBy("word").agg(F.greatest(F.lit(0.0), 1 - F.sum("q")).alias("is_clean"))
         of_form = clean.select(F.col("word").alias("form"), F.col("is_clean").alias("form_clean"))
-        by_source = held.join(post.filter("q > 0").select("word", "chain", "q"), "word").groupBy("source", "chain").agg(F.sum("q").alias("of_source"))
+        # tables of the vocabulary grow with the data: they meet by merging, and the driver holds none of them
+        by_source = held.join(post.filter("q > 0").select("word", "chain", "q").hint("merge"), "word").groupBy("source", "chain").agg(F.sum("q").alias("of_source"))
         by_chain = post.groupBy("chain").agg(F.sum("q").alias("of_chain"))
-        share = (F.greatest(F.lit(0.0), F.coalesce("of_source", F.lit(0.0)) - F.col("q")) + 5 * F.greatest(F.lit(0.0), F.col("of_chain") - F.col("q")) / F.col("all")) / (F.col("size") + 5)
+        share = (F.greatest(F.lit(0.0), F.coalesce("of_source", F.lit(0.0)) - F.col("q")) + 5 * F.greatest(F.lit(0.0), F.col("of_chain") - F.col("q")) / F.lit(max(1, n_words))) / (F.col("size") + 5)
         spread = (
-            held.withColumnRenamed("n", "n_here").join(post.select("word", "chain", "q", "n"), "word")
-            .join(by_source, ["source", "chain"], "left").join(by_chain, "chain").join(size, "source").crossJoin(F.broadcast(everything))
+            sized.join(post.select("word", "chain", "q", "n").hint("merge"), "word")
+            .join(by_source, ["source", "chain"], "left").join(by_chain, "chain")
         )
         prior = spread.groupBy("word", "chain").agg(F.sum(share * F.col("n_here") / F.col("n")).alias("prior"))
-        scored = post.withColumnRenamed("q", "was").join(prior, ["word", "chain"]).join(clean, "word").join(of_form, "form", "left")
+        scored = post.withColumnRenamed("q", "was").join(prior.hint("merge"), ["word", "chain"]).join(clean.hint("merge"), "word").join(of_form.hint("merge"), "form", "left")
         floor = F.when(F.col("utf8"), 1e-4).otherwise(1e-9)
         x = F.greatest("prior", floor) * (F.col("n_form") * F.coalesce("form_clean", F.lit(1.0)) + F.col("utf8").cast("int")) * F.exp("bonus")
         null = (F.col("n") * F.col("is_clean") + 0.5) * F.when(F.col("hard"), 1e-6).otherwise(1.0)
@@ -209,7 +210,7 @@ def judged_words(words: DataFrame, tolerance: float = 0.01, most_rounds: int = 5
     lost = count.filter(F.col("word").contains("�")).select("word", gap(F.col("word")).alias("gaps")).join(fitting, "gaps").select("word", "fits")
     bad = best.filter("garbled > 0.5").join(lost, "word", "left")
     out = written(bad.select("word", "garbled", F.coalesce(F.when(F.col("read") > 0.5, F.col("form")), "fits").alias("form")), "bad")
-    drop(held, count, known_written, post)
+    drop(held, count, known_written, sized, post)
     return out
 
 
