@@ -219,6 +219,12 @@ def absent_listings(spark: SparkSession, d: str) -> DataFrame:
     return stores.absent(ads.filter("active"), sightings, ["source", "source_id"], "source").select("id", "source")
 
 
+def place_positions(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of each observation's place with their first position."""
+    parts = table(spark, d, "observations").select("id", F.split("location_raw", ", ").alias("parts"))
+    return stores.positions(parts, "id", "parts").select("id", "item", F.col("position").cast("bigint").alias("position"))
+
+
 SPEC = json_records.RecordSpec(
     fields={"source_id": "id", "title": "ad.title", "price_eur": "ad.price", "location_parts": "ad.place", "images": "ad.images", "seller_is_company": "seller.company"},
     image_url="https://img.example/{value}.jpg", detail_url="https://ads.example/{source_id}", min_plausible_price=100.0, max_images=2,
@@ -274,7 +280,7 @@ def page_urls(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     fold_text, parsed_numbers, stripped_snippets, text_signatures, blocking_keys, blocking_keys_text, candidate_pairs, candidate_blocks, touched_pairs, touched_blocks, pair_scores, pair_jaccard, dedup_run, dedup_touched, dedup_clusters, image_hashes,
-    near_hashes, cluster_groups, cluster_roots, review_queue, relabelled, append_unseen, append_changed, content_hashes, upsert_listings, replaced_keys, absent_listings,
+    near_hashes, cluster_groups, cluster_roots, review_queue, relabelled, append_unseen, append_changed, content_hashes, upsert_listings, replaced_keys, absent_listings, place_positions,
     json_map, html_fields, visible_text, page_urls,
 )}
 
@@ -346,6 +352,8 @@ SELECT * FROM k WHERE listing_id NOT IN (SELECT listing_id FROM n) UNION ALL SEL
 s AS (SELECT DISTINCT listing_id FROM observations WHERE id >= (SELECT max(id) - (max(id) - min(id)) / 4.0 FROM observations))
 SELECT id, source FROM ads WHERE active AND id NOT IN (SELECT listing_id FROM s WHERE listing_id IS NOT NULL)
   AND source IN (SELECT source FROM ads WHERE id IN (SELECT listing_id FROM s))""",
+    "place_positions": """WITH p AS (SELECT id, unnest(string_split(location_raw, ', ')) AS item, generate_subscripts(string_split(location_raw, ', '), 1) - 1 AS position FROM observations)
+SELECT id, item, min(position)::BIGINT AS position FROM p GROUP BY ALL""",
     "json_map": """SELECT id::VARCHAR AS source_id, title, CASE WHEN price_eur >= 100 THEN price_eur::DOUBLE END AS price_eur, coalesce(price_eur < 100, false) AS price_placeholder,
   'https://ads.example/' || id AS url, 'https://img.example/a.jpg,https://img.example/b.jpg' AS images,
   CASE WHEN seller_type = 'agency' THEN 'agency' WHEN seller_type IS NOT NULL THEN 'private' END AS seller_type,
