@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adstrata.plans.scratch import written
+
 # Letters of other alphabets and the Latin letters they look like.
 CYRILLIC_LIKE = "аеорсухіјѕԁһԛԝѵАВЕЅІЈКМНОРСТУХЗԌԚԜ"
 CYRILLIC_AS = "aeopcyxijsdhqwvABESIJKMHOPCTYX3GQW"
@@ -206,7 +208,7 @@ def groups(texts: DataFrame, text: str = "text") -> DataFrame:
     Texts are first counted, so a text that a third of the rows repeat is one row; null texts are in no group.
     """
     counted = texts.filter(F.col(text).isNotNull()).groupBy(F.col(text).alias("text")).agg(F.count("*").alias("n"))
-    looked = with_looks(counted)
+    looked = with_looks(written(counted, "texts"))  # else both halves would read and count all texts
     forms = looked.groupBy("skeleton", "form").agg(F.sum("n").alias("n"), F.count("*").alias("variants"))
     best = F.min(F.struct((-F.col("n")).alias("m"), "form"))["form"].alias("form")
     return forms.groupBy("skeleton").agg(F.sum("variants").alias("variants"), F.sum("n").alias("rows"), best).filter("variants > 1")
