@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,8 +107,8 @@ def _image_hashes(spark: SparkSession, d: str) -> DataFrame:
     return shown.join(e, "image").groupBy("listing_id").agg(F.array_sort(F.collect_set("bits")).alias("bits"))
 
 
-def _run(spark: SparkSession, d: str, touched: DataFrame | None = None) -> DataFrame:
-    return matching.dedup_run(table(spark, d, "observations"), table(spark, d, "seller_boilerplate"), _image_hashes(spark, d), touched)
+def _run(spark: SparkSession, d: str, touched: DataFrame | None = None, **how: Any) -> DataFrame:
+    return matching.dedup_run(table(spark, d, "observations"), table(spark, d, "seller_boilerplate"), _image_hashes(spark, d), touched, **how)
 
 
 def dedup_run(spark: SparkSession, d: str) -> DataFrame:
@@ -117,7 +118,7 @@ def dedup_run(spark: SparkSession, d: str) -> DataFrame:
 
 def dedup_touched(spark: SparkSession, d: str) -> DataFrame:
     """As ``dedup_run``, after a change of the listings of the last batch alone."""
-    return _run(spark, d, _last_batch(spark, d)).select("a", "b", "score", "decision")
+    return _run(spark, d, _last_batch(spark, d), columns=["score"]).select("a", "b", "score", "decision")
 
 
 def dedup_clusters(spark: SparkSession, d: str) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import asdict, dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adstrata.functions import hashes, numbers, text
+from adstrata.operators import blocks
 from adstrata.operators.current import current_state
 from adstrata.plans.scratch import written
 
@@ -41,6 +43,14 @@ def blocking_keys(feats: DataFrame, with_text: bool = True, hashes_of: DataFrame
     ``hashes_of`` (listing_id, bits: array of image hashes) adds the bands of each hash. Whole-number keys round half to even. A 0 or missing number, an unusable phone and an
     empty text give no key.
     """
+    if hashes_of is not None:
+        feats = feats.join(hashes_of.select("listing_id", "bits"), "listing_id", "left")
+    keys = _keys(text.fold(F.col("clean_text")) if with_text else None, hashes_of is not None)
+    return feats.select("listing_id", F.inline(keys)).filter("key_value IS NOT NULL").distinct()
+
+
+def _keys(folded: Column | None, with_bits: bool) -> Column:
+    """The keys of a row of features as an array of (key_type, key_value), with nulls and repeats: also of the text ``folded`` and of the image hashes ``bits``."""
     whole = lambda c: F.bround(c, 0).cast("bigint").cast("string")
     at = lambda value: F.concat(value, F.lit("|"), F.col("place"))
     area, price = F.col("area_m2"), F.col("price_eur")
@@ -52,14 +62,13 @@ def blocking_keys(feats: DataFrame, with_text: bool = True, hashes_of: DataFrame
         key("price_place", at(whole(price))),
         key("phone", F.col("phone")),
     )
-    if with_text:
-        bands = text.text_bands(text.minhash(text.shingles(text.fold(F.col("clean_text")))))
+    if folded is not None:
+        bands = text.text_bands(text.minhash(text.shingles(folded)))
         keys = F.concat(keys, F.transform(bands, lambda b: key("text_band", b)))
-    if hashes_of is not None:
-        feats = feats.join(hashes_of.select("listing_id", "bits"), "listing_id", "left")
+    if with_bits:
         bands = F.flatten(F.transform(F.coalesce("bits", F.array().cast("array<bigint>")), lambda h: hashes.hash_bands(h)))
         keys = F.concat(keys, F.transform(bands, lambda b: key("phash_band", b)))
-    return feats.select("listing_id", F.inline(keys)).filter("key_value IS NOT NULL").distinct()
+    return keys
 
 
 def _held(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -199,9 +208,26 @@ def scored(pairs: DataFrame, feats: DataFrame, hashes_of: DataFrame | None = Non
     )
 
 
+def _keyed(observations: DataFrame, snippets: DataFrame | None, hashes_of: DataFrame | None) -> DataFrame:
+    """What ``blocks`` compares listings by, written once: features, folded text, image hashes, and the distinct keys as 64-bit hashes."""
+    feats = features(observations, snippets).withColumn("text", text.fold(F.col("clean_text")))
+    none = F.array().cast("array<bigint>")
+    f = feats.withColumn("bits", none) if hashes_of is None else feats.join(hashes_of.select("listing_id", "bits"), "listing_id", "left").withColumn("bits", F.coalesce("bits", none))
+    keys = F.filter(_keys(F.col("text"), hashes_of is not None), lambda k: k["key_value"].isNotNull())
+    agency = F.coalesce(F.col("seller_type") == "agency", F.lit(False)).alias("agency")
+    kept = f.select(
+        "listing_id", "price_eur", "area_m2", "rooms", "loc", "floor", "phone", "seller_name", agency, numbers.is_precise(F.col("area_m2")).alias("precise"), "bits", "text",
+        F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k["key_type"], k["key_value"]))).alias("keys"),
+    )
+    return written(kept, "features")
+
+
+EVIDENCE = ["location_conflict", "img_match_count", "area_precise", "area_delta", "floor_conflict", "phone_match", "text_jaccard", "price_delta_pct", "exact_trio", "same_seller", "score", "decision"]
+
+
 def dedup_run(
     observations: DataFrame, snippets: DataFrame | None = None, hashes_of: DataFrame | None = None, touched: DataFrame | None = None,
-    stored: DataFrame | None = None, w: Weights | None = None,
+    stored: DataFrame | None = None, w: Weights | None = None, columns: Sequence[str] = EVIDENCE, merges_only: bool = False, block: int = 1000,
 ) -> DataFrame:
     """The pair rows after one run over the listings: keys, candidate pairs, evidence, decision; ``scored`` columns and human_label.
 
@@ -209,10 +235,21 @@ def dedup_run(
     other rows of ``stored`` stay as they are. ``stored`` (a, b, decision, human_label) are the
     rows before the run: a pair that a person labelled keeps its decision and label, its
     evidence is refreshed. Null ids have no row; no listings give no pairs.
+
+    The rows are those of ``scored(candidate_pairs(blocking_keys(…)))``, made block by block
+    (``blocks``): listings are shuffled, about once for each block they are in, and pairs are
+    not. Evidence has the ``columns`` named, decision always. ``merges_only`` gives the pairs
+    that merge alone: the text of a pair that it can't make one isn't compared.
     """
-    feats = written(features(observations, snippets), "features")
-    found = candidate_pairs(blocking_keys(feats, hashes_of=hashes_of), touched)
-    fresh = scored(found, feats, hashes_of, w)
+    if merges_only and stored is not None:
+        raise ValueError("a pair that was stored may be decided otherwise")
+    made = {"area_delta": "near", "price_delta_pct": "price_gap", "score": "points", "decision": "choice"}
+    rows = blocks.cells(_keyed(observations, snippets, hashes_of), touched, block)
+    columns = [c for c in EVIDENCE if c in {*columns, "decision"}]
+    found = blocks.compared(rows, asdict(w or Weights()), [made.get(c, c) for c in columns], merges_only)
+    choice = F.element_at(F.array(F.lit("distinct"), F.lit("review"), F.lit("merge")), F.col("choice").cast("int") + 1)
+    final = {"area_delta": F.round("near", 2), "price_delta_pct": F.round("price_gap", 4), "score": F.col("points") / 1000, "decision": choice}
+    fresh = found.select("a", "b", *[final.get(c, F.col(c)).alias(c) for c in columns])
     if stored is None:
         return fresh.withColumn("human_label", F.lit(None).cast("string"))
     label = F.nullif(F.trim("human_label"), F.lit(""))

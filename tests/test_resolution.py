@@ -226,3 +226,37 @@ def test_dedup_run(spark):
     again = {(r.a, r.b): (r.decision, r.human_label, r.text_jaccard) for r in matching.dedup_run(o, hashes_of=images, touched=touched, stored=stored).collect()}
     assert again == {(1, 2): ("distinct", "different", 1.0), (2, 3): ("distinct", None, 1.0), (8, 9): ("merge", None, None)}
     assert matching.dedup_run(o.limit(0)).count() == 0
+
+
+def odd_ads(spark, n=90):
+    """Observations and image hashes: one phone for a third of the listings, odd texts and numbers, several images."""
+    rnd = random.Random(5)
+    words = ["stan", "kuća", "pogled", "na more", "𝒜𝒷 𝒸 park", "balkon", "garaža", "novogradnja", "mir", "žurno"]
+    texts = [None, "", "abc", "𝒜𝒷", "abcd", "abcde", *(" ".join(rnd.choices(words, k=6)) for _ in range(12))]
+    pick = lambda *of: rnd.choice(of)
+    rows = [
+        (i, i, "t", pick(*texts), pick(None, 0.0, 100000.0, 100150.0, 102000.0), pick(None, 0.0, 50.0, 50.1, 64.3, 64.35, 66.0), pick(None, 2.0, 3.0), pick(None, "2", "3. kat", "potkrovlje"),
+         pick(None, "Split", "Zagreb"), pick(None, "", "split", "zagreb"), pick(None, "agency", "private"), pick(None, "", "S", "T"), "0912345678" if i % 3 == 0 else pick(None, "0951111222"))
+        for i in range(n)
+    ]
+    o = spark.createDataFrame(rows, "id long, listing_id long, title string, description string, price_eur double, area_m2 double, rooms double, floor string, location_raw string, location_norm string, seller_type string, seller_name string, seller_phone string")
+    shown = [7, 6, -1, 1 << 40, (1 << 40) + 255, -(1 << 63)]
+    images = spark.createDataFrame([(i, rnd.choices(shown, k=rnd.randrange(4))) for i in range(n) if i % 5], "listing_id long, bits array<long>")
+    return o.withColumn("captured_at", F.lit("2024-01-01").cast("timestamp")), images
+
+
+def in_steps(o, images, touched=None):
+    feats = matching.features(o)
+    return matching.scored(matching.candidate_pairs(matching.blocking_keys(feats, hashes_of=images), touched), feats, images)
+
+
+@pytest.mark.parametrize("block", [4, 1000])
+def test_dedup_touched_shuffles_listings_and_not_pairs(spark, block):
+    """The rows are those of the steps one by one, but nothing is shuffled or joined once it is a pair."""
+    o, images = odd_ads(spark)
+    touched = spark.createDataFrame([(i,) for i in (0, 0, 3, 4, 6, 17, 30, 31, 60, None, 999)], "listing_id long")
+    run = matching.dedup_run(o, hashes_of=images, touched=touched, block=block)
+    after = run._jdf.queryExecution().executedPlan().toString().split("MapInArrow")
+    assert len(after) > 1 and "Exchange" not in after[0] and "Join" not in after[0]
+    got = sorted(map(str, run.drop("human_label").collect()))
+    assert len(got) > 100 and got == sorted(map(str, in_steps(o, images, touched).collect()))
