@@ -123,7 +123,7 @@ def dedup_touched(spark: SparkSession, d: str) -> DataFrame:
 
 def dedup_clusters(spark: SparkSession, d: str) -> DataFrame:
     """The clusters that a full run ends in: pairs, evidence, decisions, groups."""
-    links = _run(spark, d).filter("decision = 'merge'")
+    links = _run(spark, d, columns=[], merges_only=True)
     _, groups = clusters.rebuilt(links, table(spark, d, "listings"), table(spark, d, "clusters"))
     return groups.select("cluster_id", "size", "status", "canonical_listing_id")
 

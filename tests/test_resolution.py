@@ -260,3 +260,13 @@ def test_dedup_touched_shuffles_listings_and_not_pairs(spark, block):
     assert len(after) > 1 and "Exchange" not in after[0] and "Join" not in after[0]
     got = sorted(map(str, run.drop("human_label").collect()))
     assert len(got) > 100 and got == sorted(map(str, in_steps(o, images, touched).collect()))
+
+
+def test_dedup_clusters_links_are_the_merges_of_all_pairs(spark):
+    """Pairs that no text could make a merge are left out before their texts are compared; those left are all the merges."""
+    o, images = odd_ads(spark)
+    links = matching.dedup_run(o, hashes_of=images, columns=[], merges_only=True, block=7)
+    want = sorted((r.a, r.b) for r in in_steps(o, images).filter("decision = 'merge'").collect())
+    assert want and sorted((r.a, r.b) for r in links.collect()) == want
+    with pytest.raises(ValueError):
+        matching.dedup_run(o, stored=links, merges_only=True)
