@@ -113,7 +113,7 @@ def _run(spark: SparkSession, d: str, touched: DataFrame | None = None, **how: A
 
 def dedup_run(spark: SparkSession, d: str) -> DataFrame:
     """Every pair that a full run finds by any key, with its evidence and decision."""
-    return _run(spark, d).select("a", "b", F.col("img_match_count").cast("bigint").alias("img_match_count"), "text_jaccard", "score", "decision")
+    return _run(spark, d, columns=["img_match_count", "text_jaccard", "score"]).select("a", "b", F.col("img_match_count").cast("bigint").alias("img_match_count"), "text_jaccard", "score", "decision")
 
 
 def dedup_touched(spark: SparkSession, d: str) -> DataFrame:

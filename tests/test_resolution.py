@@ -270,3 +270,17 @@ def test_dedup_clusters_links_are_the_merges_of_all_pairs(spark):
     assert want and sorted((r.a, r.b) for r in links.collect()) == want
     with pytest.raises(ValueError):
         matching.dedup_run(o, stored=links, merges_only=True)
+
+
+@pytest.mark.parametrize("block", [4, 1000])
+def test_dedup_run_shuffles_listings_and_not_pairs(spark, block):
+    """As for touched listings; each pair comes once, with only the evidence that is asked for."""
+    o, images = odd_ads(spark)
+    run = matching.dedup_run(o, hashes_of=images, block=block)
+    after = run._jdf.queryExecution().executedPlan().toString().split("MapInArrow")
+    assert len(after) > 1 and "Exchange" not in after[0] and "Join" not in after[0]
+    want = in_steps(o, images).collect()
+    assert len(want) > 1000 and sorted(map(str, run.drop("human_label").collect())) == sorted(map(str, want))
+    asked = matching.dedup_run(o, hashes_of=images, columns=["text_jaccard"], block=block)
+    assert asked.columns == ["a", "b", "text_jaccard", "decision", "human_label"]
+    assert sorted(tuple(r)[:4] for r in asked.collect()) == sorted((r.a, r.b, r.text_jaccard, r.decision) for r in want)
